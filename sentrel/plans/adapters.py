@@ -172,3 +172,105 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("quality") == 1, "BENIGN").otherwise("DOS").alias("actual"),
         F.when(F.col("toxic") == 0, "BENIGN").otherwise("DOS").alias("predicted"),
     )
+
+COMMAND_GAP_SECONDS = 900
+COMMAND_LIFETIME_SECONDS = 600
+CONTROLLERS = ["motor-0", "motor-1"]
+
+
+def _signed(body):
+    return hmac_sha256(body, TEST_KEY)
+
+
+def samples_of(decisions: DataFrame) -> DataFrame:
+    """Accepted samples by controller; two controllers share the sensors."""
+    number = F.element_at(F.split("device_id", "-"), -1).cast("int")
+    return decisions.where(F.col("decision") == "ACCEPTED").select(
+        F.concat(F.lit("motor-"), (number % 2).cast("string")).alias("controller"),
+        F.unix_micros("received_at").alias("us"),
+        F.col("message_id").alias("decision_id"),
+    )
+
+
+def controller_requests(commands: DataFrame) -> DataFrame:
+    """Seven requests around every command: early ACK, poll, repeat, ACKs, poll, late ACK."""
+    # (number, seconds after issue, kind, outcome)
+    plan = [
+        (0, 1, "motor_ack", "COMPLETED_OFF"),
+        (1, 2, "motor_poll", ""),
+        (2, 3, "motor_poll", ""),
+        (3, 4, "motor_ack", "COMPLETED_OFF"),
+        (4, 5, "motor_ack", "FAILED_OFF"),
+        (5, 6, "motor_poll", ""),
+        (6, 700, "motor_ack", "COMPLETED_OFF"),
+    ]
+    steps = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("k"), F.lit(s).alias("s"), F.lit(t).alias("kind"),
+                F.lit(o).alias("outcome"),
+            )
+            for k, s, t, o in plan
+        ]
+    )
+    group = F.col("sensor_decision_id") % 4
+    poll = F.col("k").isin(1, 2)
+    us = F.col("issued_us") + F.col("s") * 1_000_000
+    # The repeated poll reuses the number of the first.
+    sequence = us - F.when(F.col("k") == 2, 1_000_000).otherwise(0)
+    stamp = F.expr("us div 1000000") - F.when((group == 3) & (F.col("k") == 1), 60).otherwise(1)
+    device = F.when((group == 2) & poll, "motor-x").otherwise(F.col("controller"))
+    extra = F.when(
+        F.col("kind") == "motor_ack",
+        F.concat(
+            F.lit(',"command_id":"'), "command_id", F.lit('","outcome":"'), "outcome", F.lit('"')
+        ),
+    ).otherwise("")
+    body = F.format_string(
+        '{"device_id":"%s","message_type":"%s","sequence":%d,"timestamp":%d%s}',
+        device, F.col("kind"), sequence, stamp, extra,
+    )
+    rows = (
+        commands.select("*", F.explode(steps).alias("p"))
+        .select("*", "p.*")
+        .withColumn("us", us)
+        .withColumn("raw", body.cast("binary"))
+    )
+    return rows.select(
+        (F.col("sensor_decision_id") * 10 + F.col("k")).alias("request_id"),
+        F.timestamp_micros("us").alias("received_at"),
+        "kind",
+        "raw",
+        F.when((group == 1) & (F.col("k") == 1), F.lit("00")).otherwise(_signed("raw")).alias(
+            "signature"
+        ),
+    )
+
+
+def envelopes(commands: DataFrame, controller: str) -> DataFrame:
+    """Signed command envelopes as one controller receives them, with repeats and faults."""
+    n = F.col("sensor_decision_id")
+    mine = commands.where(F.col("controller") == controller)
+    body = F.format_string(
+        '{"action":"%s","command_id":"%s","device_id":"%s","duration_seconds":%s,'
+        '"expires_at":%d,"issued_at":%d,"message_type":"motor_command","schema_version":%d,'
+        '"sequence":%d}',
+        F.when(n % 5 == 1, "OFF").otherwise("ON"),
+        F.col("command_id"),
+        F.col("controller"),
+        F.when(n % 7 == 1, "9").otherwise("3"),
+        F.expr("expires_us div 1000000"),
+        F.expr("issued_us div 1000000"),
+        F.when(n % 11 == 1, 2).otherwise(1),
+        F.col("sequence"),
+    )
+    copies = F.explode(F.array(*[F.lit(i) for i in (0, 1)])).alias("copy")
+    rows = mine.select("*", copies).withColumn("payload", body.cast("binary"))
+    return rows.select(
+        (n * 10 + F.col("copy")).alias("envelope_id"),
+        F.timestamp_micros(F.col("issued_us") + (F.col("copy") + 1) * 2_000_000).alias(
+            "received_at"
+        ),
+        "payload",
+        F.when(n % 13 == 1, "00").otherwise(_signed("payload")).alias("signature"),
+    )
