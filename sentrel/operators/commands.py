@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import bucket_of, hmac_sha256, is_hex64
+from sentrel.functions.staging import materialise
 from sentrel.operators.telemetry import fresh, is_number, json_type, strict_json
 from sentrel.operators.windows import prefix_max
 
@@ -44,7 +45,7 @@ def authorise(
     if width < gap:
         raise ValueError("a bucket must be at least one gap long")
     # One sample per instant: the earliest decision of an instant is the one that counts.
-    instants = (
+    instants = materialise(
         samples.groupBy("controller", "us")
         .agg(F.min("decision_id").alias("decision_id"))
         .withColumn("bucket", bucket_of("us", width))
@@ -102,7 +103,7 @@ def authorise(
     )
     # The throttle itself bounds the rows per controller: one per gap.
     order = Window.partitionBy("controller").orderBy("us")
-    return issued.select(
+    commands = issued.select(
         "controller",
         F.md5(F.concat_ws("|", "controller", F.col("us").cast("string"))).alias("command_id"),
         F.row_number().over(order).cast("bigint").alias("sequence"),
@@ -110,6 +111,7 @@ def authorise(
         F.col("us").alias("issued_us"),
         (F.col("us") + int(lifetime_seconds * 1_000_000)).alias("expires_us"),
     )
+    return materialise(commands)
 
 
 def with_decisions(commands: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -386,7 +388,7 @@ def decide_requests(
     log is sorted by controller and time within partitions and folded as a stream of Arrow
     batches: a task holds one batch and the state of one controller, never its log.
     """
-    checked = check_requests(requests, controllers, key)
+    checked = materialise(check_requests(requests, controllers, key))
     log = request_log(checked, commands, samples)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -445,7 +447,7 @@ def accept_commands(
     reason = F.lit(None).cast("string")
     for name, ok in reversed(checks.items()):
         reason = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(reason)
-    staged = parsed.select(
+    staged = materialise(parsed.select(
         "envelope_id",
         "received_at",
         F.unix_micros("received_at").alias("us"),
@@ -453,7 +455,7 @@ def accept_commands(
         value("$.command_id", "string").alias("command_id"),
         value("$.sequence", "bigint").alias("sequence"),
         reason.alias("reason"),
-    )
+    ))
     passed = prefix_max(
         staged.where(F.col("reason").isNull()),
         ["device"],

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import host_id
+from sentrel.functions.staging import materialise
 from sentrel.operators.windows import Criterion, first_windows, window_members
 
 INCIDENT_COLUMNS = [
@@ -315,24 +316,19 @@ def deduplicate(incidents: DataFrame) -> DataFrame:
     )
 
 
-def all_incidents(events: DataFrame, window_seconds: int = fixed.CORRELATION_WINDOW_SECONDS):
-    """Deduplicated incidents of the three rules."""
-    found = combine(
-        recon_incidents(events, window_seconds=window_seconds),
-        unknown_incidents(events),
-        history_incidents(events),
-    )
-    return deduplicate(found).select(*INCIDENT_COLUMNS)
-
-
-def all_members(events: DataFrame, window_seconds: int = fixed.CORRELATION_WINDOW_SECONDS):
-    """Bridge table: incident, its source and the events it rests on."""
-    # Deduplication keeps the last event of a (source, pattern).
-    last = deduplicate(combine(unknown_incidents(events)))
+def correlate(
+    events: DataFrame, window_seconds: int = fixed.CORRELATION_WINDOW_SECONDS
+) -> tuple[DataFrame, DataFrame]:
+    """Deduplicated incidents of the three rules, and the bridge table of their events."""
+    recon = materialise(recon_members(events, window_seconds=window_seconds))
+    unknown = unknown_incidents(events)
+    found = combine(summarise_recon(recon), unknown, history_incidents(events))
+    # Of a pattern's events from one source, deduplication keeps the last.
+    last = deduplicate(combine(unknown))
     cols = ["incident_id", F.col("src").alias("source"), "seq"]
-    return (
-        recon_members(events, window_seconds=window_seconds)
-        .select(*cols)
+    members = (
+        recon.select(*cols)
         .union(last.select("incident_id", "source", F.col("emit_seq").alias("seq")))
         .union(history_members(events).select(*cols))
     )
+    return deduplicate(found).select(*INCIDENT_COLUMNS), members

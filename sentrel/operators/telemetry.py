@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import hmac_sha256, is_hex64
+from sentrel.functions.staging import materialise
 from sentrel.operators.windows import prefix_max
 
 # Reasons that say a message got as far as the freshness check; only then is its body stored.
@@ -151,7 +152,8 @@ def decide(
     A message that reaches the replay check is accepted if its sequence exceeds those of all
     earlier messages of its device that reached it; refused ones never raise that maximum.
     """
-    checked = check_messages(messages, devices, key, limit)
+    # Checked rows are needed twice below; they are narrow, and digests are dear.
+    checked = materialise(check_messages(messages, devices, key, limit))
     open_ = F.col("reason").isNull()
     ranked = prefix_max(
         checked.where(open_).withColumn("us", F.unix_micros("received_at")),

@@ -214,3 +214,85 @@ def prefix_max(
         .withColumn(out, F.greatest("__head", F.max("__v").over(inside)))
         .drop("__b", "__v", "__head")
     )
+
+
+def numbered(
+    rows: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence, out: str, total: str
+) -> DataFrame:
+    """Position of each row within its key (from 1) and the key's row count.
+
+    ``bucket`` must rise with ``order``; row counts of the buckets are chained first, so only
+    one bucket at a time is sorted by a task.
+    """
+    keys = list(keys)
+    tagged = rows.withColumn("__b", bucket)
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = (
+        tagged.groupBy(*keys, "__b")
+        .agg(F.count("*").alias("__n"))
+        .select(
+            *keys,
+            "__b",
+            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__head"),
+            F.sum("__n").over(Window.partitionBy(*keys)).alias(total),
+        )
+    )
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    return (
+        tagged.join(heads, [*keys, "__b"])
+        .withColumn(out, F.col("__head") + F.row_number().over(inside))
+        .drop("__b", "__head")
+    )
+
+
+def quantiles(
+    values: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], cuts: int = 100
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per key and probability.
+
+    Equal values are counted first. Approximate quantiles then cut each key into buckets; the
+    bucket totals tell in which bucket a position lies, so no task sorts a whole key.
+    """
+    keys = list(keys)
+    counts = (
+        values.where(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).alias("v"))
+        .agg(F.count("*").alias("n"))
+    )
+    edges = counts.groupBy(*keys).agg(
+        F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("e")
+    )
+    bucketed = counts.join(edges, keys).withColumn(
+        "b", F.size(F.filter(F.array_distinct("e"), lambda x: x <= F.col("v")))
+    ).drop("e")
+    before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = (
+        bucketed.groupBy(*keys, "b")
+        .agg(F.sum("n").alias("m"))
+        .select(
+            *keys,
+            "b",
+            F.coalesce(F.sum("m").over(before), F.lit(0)).alias("head"),
+            F.sum("m").over(Window.partitionBy(*keys)).alias("total"),
+        )
+    )
+    inside = Window.partitionBy(*keys, "b").orderBy("v")
+    ranked = (
+        bucketed.join(heads, [*keys, "b"])
+        .withColumn("last", F.col("head") + F.sum("n").over(inside) - 1)
+        .withColumn("first", F.col("last") - F.col("n") + 1)
+    )
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
+    spot = F.col("p") * (F.col("total") - 1)
+    low, high = F.floor(spot), F.ceil(spot)
+    at = ranked.select("*", wanted)
+    return (
+        at.where((F.col("first") <= high) & (F.col("last") >= low))
+        .groupBy(*keys, "p")
+        .agg(
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+            F.first(spot - low).alias("w"),
+        )
+        .select(*keys, "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("w")).alias("q"))
+    )

@@ -27,8 +27,8 @@ def _flat(df):
 
 def _everything(spark, sf_dir):
     events = sec_events(spark, sf_dir)
-    found = inc.all_incidents(events, SPAN)
-    timeline = reports.incident_timeline(inc.all_members(events, SPAN), events)
+    found, members = inc.correlate(events, SPAN)
+    timeline = reports.incident_timeline(members, events)
     return events, found, timeline
 
 
@@ -116,12 +116,12 @@ def unknown_incidents(spark, sf_dir):
 
 @query("incident_dedup", f"WITH {INCIDENTS} SELECT * FROM inc")
 def incident_dedup(spark, sf_dir):
-    return _flat(inc.all_incidents(sec_events(spark, sf_dir), SPAN)).select(*INC_COLS)
+    return _flat(inc.correlate(sec_events(spark, sf_dir), SPAN)[0]).select(*INC_COLS)
 
 
 @query("incident_members", f"WITH {INCIDENTS} SELECT * FROM mem")
 def incident_members(spark, sf_dir):
-    return inc.all_members(sec_events(spark, sf_dir), SPAN)
+    return inc.correlate(sec_events(spark, sf_dir), SPAN)[1]
 
 
 @query(
@@ -159,7 +159,7 @@ def incident_first_last(spark, sf_dir):
         WHEN 'LOW' THEN 1 ELSE 0 END AS weight FROM inc""",
 )
 def incident_ranking(spark, sf_dir):
-    found = inc.all_incidents(sec_events(spark, sf_dir), SPAN)
+    found = inc.correlate(sec_events(spark, sf_dir), SPAN)[0]
     return marts.rank_incidents(found).select(
         "incident_id", "source", "severity", "last_us", "weight"
     )

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from sentrel.plans import control_queries, flow_queries, incident_queries, view_queries  # noqa: F401
+from sentrel.plans import control_queries, flow_queries, incident_queries, quality_queries, view_queries  # noqa: F401
 from sentrel.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -152,7 +152,7 @@ SUMMARY = f"""{INCIDENTS}, total AS (SELECT count(*) AS total_events,
 
 def _summary(spark, sf_dir):
     events = sec_events(spark, sf_dir)
-    return marts.summary(events, inc.all_incidents(events, SPAN))
+    return marts.summary(events, inc.correlate(events, SPAN)[0])
 
 
 @query("dashboard_summary", f"WITH {SUMMARY} SELECT * FROM total")
