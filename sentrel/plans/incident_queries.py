@@ -7,6 +7,7 @@ from sentrel.operators import marts, reports
 from sentrel.plans.adapters import EVENT_WINDOW_SECONDS as SPAN
 from sentrel.plans.adapters import sec_events
 from sentrel.plans.registry import query
+from sentrel.sources import events as events_source
 from sentrel.plans.sql_parts import CHAIN, HISTORY, INCIDENTS, RECON, RECON_INC, SEC, UNKNOWN
 
 RECON_COLS = [
@@ -246,3 +247,49 @@ def incident_selected(spark, sf_dir):
     return marts.select_incident(
         reports.build_reports(found, timeline), found, "INC-MULTI-10-0-0-7"
     )
+
+
+# Events as JSON lines: some lines blank, some cut off, some with a time that does not parse.
+def _lines(spark, sf_dir):
+    e = sec_events(spark, sf_dir)
+    whole = F.to_json(
+        F.struct(
+            "event_id",
+            F.when(F.col("seq") % 43 == 0, "yesterday")
+            .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"))
+            .alias("timestamp"),
+            "src", "dst", "src_port",
+            F.col("dst_port").cast("int").alias("dst_port"),
+            "protocol", "type", "confidence", "severity", "pattern_id",
+        )
+    )
+    line = (
+        F.when(F.col("seq") % 47 == 0, "  ")
+        .when(F.col("seq") % 41 == 0, F.substring(whole, 1, 40))
+        .otherwise(whole)
+    )
+    return e.select(F.col("seq").alias("line_no"), line.alias("value"))
+
+
+@query(
+    "event_base",
+    f"""WITH {SEC} SELECT seq AS line_no, event_id,
+      CASE WHEN seq % 43 = 0 THEN NULL ELSE ts_us END AS ts_us, src, dst, src_port, dst_port,
+      protocol, type, confidence, severity, pattern_id
+    FROM sec WHERE seq % 47 <> 0 AND seq % 41 <> 0""",
+)
+def event_base(spark, sf_dir):
+    return events_source.good_events(events_source.parse_events(_lines(spark, sf_dir))).select(
+        "line_no", "event_id", "ts_us", "src", "dst", "src_port", "dst_port", "protocol", "type",
+        "confidence", "severity", "pattern_id",
+    )
+
+
+@query(
+    "event_quarantine",
+    f"""WITH {SEC} SELECT seq AS line_no, 'MALFORMED_JSON' AS reason FROM sec
+    WHERE seq % 47 <> 0 AND seq % 41 = 0""",
+)
+def event_quarantine(spark, sf_dir):
+    parsed = events_source.parse_events(_lines(spark, sf_dir))
+    return events_source.malformed_events(parsed).drop("value")

@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from sentrel.plans import control_queries, flow_queries, incident_queries, quality_queries, view_queries  # noqa: F401
+from sentrel.plans import (  # noqa: F401
+    control_queries,
+    flow_queries,
+    incident_queries,
+    model_queries,
+    quality_queries,
+    view_queries,
+)
 from sentrel.plans.registry import ORACLES, QUERIES  # noqa: F401
