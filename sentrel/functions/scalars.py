@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions.fixed import SEVERITY_WEIGHTS
@@ -77,3 +77,13 @@ def hmac_sha256(raw: Column | str, key: bytes) -> Column:
 
 def is_hex64(c: Column | str) -> Column:
     return F.coalesce(col(c).rlike(r"\A[0-9a-fA-F]{64}\z"), F.lit(False))
+
+
+def evaluated_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """``keep`` plus computed columns that later filters do not evaluate again.
+
+    A filter on a plain projection is pushed below it with the expressions written out, which
+    repeats costly parsing for every use. It is not pushed below a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))

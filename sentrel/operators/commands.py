@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
-from sentrel.functions.scalars import bucket_of, hmac_sha256, is_hex64
+from sentrel.functions.scalars import bucket_of, evaluated_once, hmac_sha256, is_hex64
 from sentrel.functions.staging import materialise
 from sentrel.operators.telemetry import fresh, is_number, json_type, strict_json
 from sentrel.operators.windows import prefix_max
@@ -254,17 +254,17 @@ def check_requests(requests: DataFrame, controllers: DataFrame, key: bytes) -> D
         .when(fails(fresh("received_at", value("$.timestamp", "double"))), "INVALID_TIMESTAMP")
     )
     is_ack = F.col("kind") == "motor_ack"
-    return joined.select(
-        "request_id",
-        "received_at",
-        F.unix_micros("received_at").alias("us"),
-        F.sha2("raw", 256).alias("request_sha256"),
-        "kind",
-        "controller",
-        "sequence",
-        F.when(is_ack, F.col("command_id")).alias("command_id"),
-        F.when(is_ack, F.col("outcome")).alias("outcome"),
-        reason.alias("reason"),
+    return evaluated_once(
+        joined,
+        ["request_id", "received_at"],
+        {
+            "us": F.unix_micros("received_at"),
+            "request_sha256": F.sha2("raw", 256),
+            **{c: F.col(c) for c in ("kind", "controller", "sequence")},
+            "command_id": F.when(is_ack, F.col("command_id")),
+            "outcome": F.when(is_ack, F.col("outcome")),
+            "reason": reason,
+        },
     )
 
 

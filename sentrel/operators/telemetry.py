@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
-from sentrel.functions.scalars import hmac_sha256, is_hex64
+from sentrel.functions.scalars import evaluated_once, hmac_sha256, is_hex64
 from sentrel.functions.staging import materialise
 from sentrel.operators.windows import prefix_max
 
@@ -111,16 +111,15 @@ def check_messages(
         .when(fails(in_range), "SENSOR_VALUES_OUT_OF_RANGE")
         .when(fails(fresh("received_at", F.col("measured_at"))), "INVALID_TIMESTAMP")
     )
-    return joined.select(
-        "message_id",
-        "received_at",
-        F.sha2("raw", 256).alias("payload_sha256"),
-        "device_id",
-        "sequence",
-        "measured_at",
-        "temperature_c",
-        F.col("__turbidity").try_cast("bigint").alias("turbidity_raw"),
-        reason.alias("reason"),
+    return evaluated_once(
+        joined,
+        ["message_id", "received_at"],
+        {
+            "payload_sha256": F.sha2("raw", 256),
+            **{c: F.col(c) for c in ("device_id", "sequence", "measured_at", "temperature_c")},
+            "turbidity_raw": F.col("__turbidity").try_cast("bigint"),
+            "reason": reason,
+        },
     )
 
 

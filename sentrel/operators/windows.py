@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,63 +33,66 @@ class Criterion:
     small_domain: bool = False
 
 
-def _edge_times(events: DataFrame, keys: list[str], crit: Criterion, last: bool) -> DataFrame:
-    """The last (or first) ``repeats`` times of each value per key and slice, bounded per slice."""
-    group = [*keys, "slice", "val"]
-    rows = events.select(*keys, "slice", F.col(crit.value).alias("val"), "t").where(
-        F.col("val").isNotNull()
-    )
-    order = F.col("t").desc() if last else F.col("t").asc()
-    if crit.repeats == 1:
-        rows = rows.groupBy(*group).agg((F.max if last else F.min)("t").alias("t"))
-        # With T values needed, only the T latest values of a slice and the 2T - 1 earliest
-        # of the next one can decide where coverage first reaches T.
-        keep = crit.min_values if last else 2 * crit.min_values - 1
-        per_slice = Window.partitionBy(*keys, "slice").orderBy(order, "val")
-        return rows.withColumn("rk", F.row_number().over(per_slice)).where(F.col("rk") <= keep)
-    per_value = Window.partitionBy(*group).orderBy(order)
-    return rows.withColumn("rk", F.row_number().over(per_value)).where(
-        F.col("rk") <= crit.repeats
+def _single_edges(ev: DataFrame, keys: list[str], criteria: dict[int, Criterion]):
+    """Latest and earliest values per slice; ``crit`` -1 stands for the slice's last event.
+
+    One pass with map-side aggregation. Both results use all columns of the aggregate, so the
+    two branches share its shuffle.
+    """
+    choices = [F.struct(F.lit(-1).alias("crit"), F.lit(None).cast("string").alias("val"))]
+    for n, c in criteria.items():
+        choices.append(F.struct(F.lit(n).alias("crit"), F.col(c.value).cast("string").alias("val")))
+    seen = (
+        ev.select(*keys, "slice", "t", F.inline(F.array(*choices)))
+        .where((F.col("crit") == -1) | F.col("val").isNotNull())
+        .groupBy(*keys, "slice", "crit", "val")
+        .agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     )
+    # With T values needed, only the T latest values of a slice and the 2T - 1 earliest of the
+    # next one can decide where coverage first reaches T.
+    most = max([c.min_values for c in criteria.values()], default=1)
+    part = Window.partitionBy(*keys, "slice", "crit")
 
+    def cut(time, order, keep):
+        rank = F.row_number().over(part.orderBy(*order, "val"))
+        kept = seen.withColumn("rk", rank).where(F.col("rk") <= keep)
+        return kept.select(*keys, "slice", "crit", "val", F.col(time).alias("t"))
 
-def _start_ranges(events: DataFrame, keys: list[str], crit: Criterion, width: int) -> DataFrame:
-    """Disjoint ranges of start instants for which one value is seen ``repeats`` times."""
-    n = crit.repeats
-    left = _edge_times(events, keys, crit, last=True).select(
-        *keys, "slice", "val", F.col("t").alias("l"), F.lit(None).cast("bigint").alias("r")
-    )
-    right = _edge_times(events, keys, crit, last=False).select(
-        *keys,
-        (F.col("slice") - 1).alias("slice"),
-        "val",
-        F.lit(None).cast("bigint").alias("l"),
-        F.col("t").alias("r"),
-    )
-    both = (
-        left.union(right)
-        .groupBy(*keys, "slice", "val")
-        .agg(
-            F.sort_array(F.collect_list("l"), asc=False).alias("ls"),
-            F.sort_array(F.collect_list("r")).alias("rs"),
-        )
+    latest = cut("hi", [F.col("hi").desc(), F.col("lo")], most)
+    return latest, cut("lo", [F.col("lo"), F.col("hi")], 2 * most - 1)
+
+
+def _repeat_edges(ev: DataFrame, keys: list[str], n: int, crit: Criterion):
+    """Last and first ``repeats`` times of each value of a closed vocabulary per slice."""
+    rows = ev.where(F.col(crit.value).isNotNull()).select(
+        *keys, "slice", F.lit(n).alias("crit"), F.col(crit.value).cast("string").alias("val"), "t"
     )
+    part = Window.partitionBy(*keys, "slice", "val")
+
+    def cut(order):
+        rank = F.row_number().over(part.orderBy(order))
+        return rows.withColumn("rk", rank).where(F.col("rk") <= crit.repeats).drop("rk")
+
+    return cut(F.col("t").desc()), cut(F.col("t"))
+
+
+def _ranges(repeats: int, width: int) -> Column:
+    """Disjoint ranges of start instants for which a value is seen ``repeats`` times.
+
+    Reads ``ls``, its latest times in the slice, and ``rs``, its earliest in the next one.
+    """
     first = F.col("slice") * width
     final = first + (width - 1)
     ranges, covered = [], F.lit(None).cast("bigint")
-    for i in range(n + 1):  # i occurrences in the next slice, n - i in this one
+    for i in range(repeats + 1):  # i occurrences in the next slice, the others in this one
+        own = repeats - i
         lo = F.get("rs", F.lit(i - 1)) - width if i else first
-        hi = F.get("ls", F.lit(n - i - 1)) if n - i else final
+        hi = F.get("ls", F.lit(own - 1)) if own else final
         lo = F.greatest(lo, first, covered + 1) if i else lo
-        exists = F.lit(True)
-        if i:
-            exists = exists & (F.size("rs") >= i)
-        if n - i:
-            exists = exists & (F.size("ls") >= n - i)
-        exists = exists & (lo <= hi)
+        exists = (F.size("rs") >= i) & (F.size("ls") >= own) & (lo <= hi)
         ranges.append(F.when(exists, F.struct(lo.alias("lo"), hi.alias("hi"))))
         covered = F.greatest(covered, F.when(exists, hi))
-    return both.select(*keys, "slice", F.explode(F.array_compact(F.array(*ranges))).alias("g"))
+    return F.array_compact(F.array(*ranges))
 
 
 def first_windows(
@@ -112,46 +116,52 @@ def first_windows(
         .select(*keys, F.col(ts_us).alias("t"), *values)
         .withColumn("slice", bucket_of("t", window_us))
     )
-    marks = []
-    for n, crit in enumerate(criteria):
-        r = _start_ranges(ev, keys, crit, window_us)
-        delta = F.array(
-            F.struct(F.col("g.lo").alias("p"), F.lit(1).alias("d")),
-            F.struct((F.col("g.hi") + 1).alias("p"), F.lit(-1).alias("d")),
-        )
-        marks.append(
-            r.select(*keys, "slice", F.explode(delta).alias("m")).select(
-                *keys,
-                "slice",
-                F.lit(n).alias("crit"),
-                "m.p",
-                "m.d",
-                F.lit(None).cast("bigint").alias("last_t"),
-            )
-        )
-    # The last event of a slice tells whether a range without an own event holds a start.
-    last = ev.groupBy(*keys, "slice").agg(F.max("t").alias("last_t"))
-    marks.append(
-        last.select(
-            *keys,
-            "slice",
-            F.explode(F.array(*[F.lit(n) for n in range(len(criteria))])).alias("crit"),
-            (F.col("slice") * window_us).alias("p"),
-            F.lit(0).alias("d"),
-            "last_t",
+    single = {n: c for n, c in enumerate(criteria) if c.repeats == 1}
+    edges = [_single_edges(ev, keys, single)]
+    edges += [_repeat_edges(ev, keys, n, c) for n, c in enumerate(criteria) if n not in single]
+    none = F.lit(None).cast("bigint")
+    cols = [*keys, "slice", "crit", "val"]
+    sides = []
+    for latest, earliest in edges:
+        sides.append(latest.select(*cols, F.col("t").alias("l"), none.alias("r")))
+        before = earliest.withColumn("slice", F.col("slice") - 1)
+        sides.append(before.select(*cols, none.alias("l"), F.col("t").alias("r")))
+    # From here on a (key, slice) has a bounded number of rows, so one shuffle on it serves the
+    # grouping by value and the sweep.
+    values = (
+        reduce(DataFrame.union, sides)
+        .repartition(*keys, "slice")
+        .groupBy(*cols)
+        .agg(
+            F.sort_array(F.collect_list("l"), asc=False).alias("ls"),
+            F.sort_array(F.collect_list("r")).alias("rs"),
         )
     )
-    sweep = marks[0]
-    for m in marks[1:]:
-        sweep = sweep.unionByName(m)
-    part = Window.partitionBy(*keys, "slice", "crit")
-    needed = F.lit(None).cast("int")
+    ranges = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    for n, crit in enumerate(criteria):
+        ranges = F.when(F.col("crit") == n, _ranges(crit.repeats, window_us)).otherwise(ranges)
+    mark = "struct<p:bigint,d:int>"
+    bounds = F.concat(
+        F.transform("g", lambda x: F.struct(x["lo"].alias("p"), F.lit(1).alias("d")).cast(mark)),
+        F.transform("g", lambda x: F.struct((x["hi"] + 1).alias("p"), F.lit(-1).alias("d")).cast(mark)),
+        # The last event of a slice tells whether a range without an own event holds a start.
+        F.array(F.struct((F.col("slice") * window_us).alias("p"), F.lit(0).alias("d")).cast(mark)),
+    )
+    sweep = (
+        values.withColumn("g", ranges)
+        .withColumn("last_t", F.when(F.col("crit") == -1, F.get("ls", F.lit(0))))
+        .select(*keys, "slice", "crit", "last_t", F.inline(bounds))
+    )
+    part = Window.partitionBy(*keys, "slice")
+    met = F.lit(False)
     for n, crit in enumerate(criteria):
-        needed = F.when(F.col("crit") == n, crit.min_values).otherwise(needed)
+        # Coverage counts the values that a start instant satisfies.
+        cover = F.sum(F.when(F.col("crit") == n, F.col("d"))).over(part.orderBy("p"))
+        met = met | (F.coalesce(cover, F.lit(0)) >= crit.min_values)
     points = (
-        sweep.withColumn("cover", F.sum("d").over(part.orderBy("p")))
+        sweep.withColumn("met", met)
         .withColumn("last_t", F.max("last_t").over(part))
-        .where((F.col("cover") >= needed) & (F.col("p") <= F.col("last_t")))
+        .where(F.col("met") & (F.col("p") <= F.col("last_t")))
         .groupBy(*keys)
         .agg(F.min("p").alias("p"))
         .withColumn("slice", bucket_of("p", window_us))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentrel.functions.scalars import parse_instant
+from sentrel.functions.scalars import evaluated_once, parse_instant
 from sentrel.functions.staging import materialise
 
 EVIDENCE_SCHEMA = (
@@ -36,31 +36,22 @@ def parse_events(lines: DataFrame) -> DataFrame:
     text = lines.where(F.trim("value") != "")
     parsed = text.withColumn("e", F.from_json("value", EVENT_SCHEMA, options))
     rest = [c for c in lines.columns if c != "value"]
-    return parsed.select(
-        *rest,
-        "value",
-        (F.col("e._corrupt_record").isNotNull() | F.col("e").isNull()).alias("malformed"),
-        "e.*",
-    ).select(
-        *rest,
-        "value",
-        "malformed",
-        "event_id",
-        parse_instant("timestamp").alias("ts"),
-        F.unix_micros(parse_instant("timestamp")).alias("ts_us"),
-        "src",
-        "dst",
-        "src_port",
-        "dst_port",
-        "protocol",
-        "type",
-        F.col("confidence").try_cast("double").alias("confidence"),
-        "severity",
-        "pattern_id",
-        F.col("evidence.observation_count").alias("observations"),
-        F.col("evidence.pattern_status").alias("pattern_status"),
-        "evidence",
-    )
+    event = F.col("e")
+    instant = parse_instant(event["timestamp"])
+    columns = {
+        "malformed": event["_corrupt_record"].isNotNull() | event.isNull(),
+        "event_id": event["event_id"],
+        "ts": instant,
+        "ts_us": F.unix_micros(instant),
+        **{c: event[c] for c in ("src", "dst", "src_port", "dst_port", "protocol", "type")},
+        "confidence": event["confidence"].try_cast("double"),
+        "severity": event["severity"],
+        "pattern_id": event["pattern_id"],
+        "observations": event["evidence"]["observation_count"],
+        "pattern_status": event["evidence"]["pattern_status"],
+        "evidence": event["evidence"],
+    }
+    return evaluated_once(parsed, [*rest, "value"], columns)
 
 
 def good_events(parsed: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
+from sentrel.functions.scalars import evaluated_once
 
 
 def _flag(c: Column, strict: bool) -> Column:
@@ -18,7 +19,7 @@ def parse_packets(lines: DataFrame, strict_flags: bool = False) -> DataFrame:
     Adds ``valid``; split with :func:`accepted` and :func:`quarantined`. Other input columns
     pass through. Works on streams.
     """
-    raw = lines.withColumn("__f", F.split(F.btrim("value", F.lit(" \t\r\n")), "[|]", -1))
+    raw = lines.withColumn("__f", F.split(F.btrim("value", F.lit(" \t\r\n")), r"\|", -1))
     f = {n: F.get("__f", F.lit(i)) for i, n in enumerate(fixed.PACKET_FIELDS_14)}
     tcp, udp = f["ip.proto"] == "6", f["ip.proto"] == "17"
     seconds = f["frame.time_epoch"].try_cast("double")
@@ -34,21 +35,21 @@ def parse_packets(lines: DataFrame, strict_flags: bool = False) -> DataFrame:
     )
     ip_header = F.coalesce(f["ip.hdr_len"].try_cast("int"), F.lit(20))
     tcp_header = F.coalesce(f["tcp.hdr_len"].try_cast("int"), F.lit(0))
-    return raw.select(
-        *lines.columns,
-        F.coalesce(valid, F.lit(False)).alias("valid"),
-        us.alias("ts_us"),
-        f["ip.src"].alias("src"),
-        f["ip.dst"].alias("dst"),
-        F.when(tcp, f["tcp.srcport"]).otherwise(f["udp.srcport"]).alias("src_port"),
-        F.when(tcp, f["tcp.dstport"]).otherwise(f["udp.dstport"]).alias("dst_port"),
-        F.when(tcp, "TCP").when(udp, "UDP").alias("protocol"),
-        size.alias("size"),
-        F.coalesce(_flag(f["tcp.flags.syn"], strict_flags), F.lit(0)).alias("syn"),
-        F.coalesce(_flag(f["tcp.flags.ack"], strict_flags), F.lit(0)).alias("ack"),
-        F.coalesce(_flag(f["tcp.flags.push"], strict_flags), F.lit(0)).alias("push"),
-        (ip_header + tcp_header).alias("header_length"),
-    ).withColumn("ts", F.timestamp_micros("ts_us"))
+    parsed = {
+        "valid": F.coalesce(valid, F.lit(False)),
+        "ts_us": us,
+        "src": f["ip.src"],
+        "dst": f["ip.dst"],
+        "src_port": F.when(tcp, f["tcp.srcport"]).otherwise(f["udp.srcport"]),
+        "dst_port": F.when(tcp, f["tcp.dstport"]).otherwise(f["udp.dstport"]),
+        "protocol": F.when(tcp, "TCP").when(udp, "UDP"),
+        "size": size,
+        "syn": F.coalesce(_flag(f["tcp.flags.syn"], strict_flags), F.lit(0)),
+        "ack": F.coalesce(_flag(f["tcp.flags.ack"], strict_flags), F.lit(0)),
+        "push": F.coalesce(_flag(f["tcp.flags.push"], strict_flags), F.lit(0)),
+        "header_length": ip_header + tcp_header,
+    }
+    return evaluated_once(raw, lines.columns, parsed).withColumn("ts", F.timestamp_micros("ts_us"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def quarantined(parsed: DataFrame, columns: list[str]) -> DataFrame:
 def parse_packet_fields(lines: DataFrame) -> DataFrame:
     """Nine-field variant: no arity check, missing fields are null; blank lines are dropped."""
     raw = lines.withColumn("__t", F.btrim("value", F.lit(" \t\r\n"))).where(F.col("__t") != "")
-    parts = F.split("__t", "[|]", -1)
+    parts = F.split("__t", r"\|", -1)
     return raw.select(
         *[c for c in lines.columns if c != "value"],
         *[
