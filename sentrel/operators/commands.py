@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -268,111 +266,46 @@ def check_requests(requests: DataFrame, controllers: DataFrame, key: bytes) -> D
     )
 
 
-class ControllerState:
-    """Sequence and command states of one controller; a fold over its ordered log."""
-
-    def __init__(self, last: int = 0, commands: dict | None = None):
-        self.last = last
-        # command id -> [status, outcome, expiry, sequence]
-        self.commands = commands if commands is not None else {}
-        self.open = [c for c, s in self.commands.items() if s[0] in ("PENDING", "DELIVERED")]
-
-    def _expire(self, now: int) -> None:
-        still = []
-        for c in self.open:
-            state = self.commands[c]
-            if state[0] not in ("PENDING", "DELIVERED"):
-                continue
-            if state[2] < now:
-                state[0], state[1] = "EXPIRED", "UNKNOWN"
-            else:
-                still.append(c)
-        self.open = still
-
-    def sample(self, now: int) -> None:
-        self._expire(now)
-
-    def issue(self, now: int, command: str, expires: int, sequence: int) -> None:
-        self._expire(now)
-        self.commands[command] = ["PENDING", None, expires, sequence]
-        self.open.append(command)
-
-    def poll(self, now: int, sequence: int) -> tuple[str, str | None]:
-        if sequence <= self.last:
-            return "REPLAY_OR_SEQUENCE_RESET", None
-        self._expire(now)
-        found = min(self.open, key=lambda c: self.commands[c][3], default=None)
-        if found is not None:
-            self.commands[found][0] = "DELIVERED"
-        self.last = sequence
-        return "MOTOR_POLL_ACCEPTED", found
-
-    def ack(self, sequence: int, command: str, outcome: str) -> str:
-        if sequence <= self.last:
-            return "REPLAY_OR_SEQUENCE_RESET"
-        state = self.commands.get(command)
-        if state is None or state[0] == "PENDING":
-            return "COMMAND_NOT_DELIVERED"
-        if state[0] == "ACKNOWLEDGED" and state[1] != outcome:
-            return "CONFLICTING_ACK"
-        state[0], state[1] = "ACKNOWLEDGED", outcome
-        self.last = sequence
-        return "MOTOR_ACK_ACCEPTED"
-
-
-FOLD_COLUMNS = [
-    "controller", "us", "rank", "request_id", "kind", "sequence", "command_id", "outcome",
-    "expires_us",
-]
-
-
-def fold_rows(state: ControllerState, rows: pd.DataFrame) -> list[tuple]:
-    """Run ordered log rows through the state; verdicts of the requests among them."""
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.kind == "issue":
-            state.issue(r.us, r.command_id, int(r.expires_us), int(r.sequence))
-        elif r.kind == "sample":
-            state.sample(r.us)
-        elif r.kind == "motor_poll":
-            reason, sent = state.poll(r.us, int(r.sequence))
-            out.append((int(r.request_id), reason, sent))
-        else:
-            reason = state.ack(int(r.sequence), r.command_id, r.outcome)
-            out.append((int(r.request_id), reason, None))
-    return out
-
-
-def request_log(
-    checked: DataFrame, commands: DataFrame, samples: DataFrame | None = None
-) -> DataFrame:
-    """Command issues, samples and checked requests as one log in ``FOLD_COLUMNS``."""
-    none = F.lit(None)
-    issues = commands.select(
-        "controller",
-        F.col("issued_us").alias("us"),
-        F.lit(0).alias("rank"),
-        none.cast("bigint").alias("request_id"),
-        F.lit("issue").alias("kind"),
-        "sequence",
-        "command_id",
-        none.cast("string").alias("outcome"),
-        "expires_us",
+def _order(us: str, rank: Column | str) -> Column:
+    """Place in a controller's log; issues and samples (-1) come before requests of an instant."""
+    return F.struct(F.col(us).alias("us"), (F.col(rank) if isinstance(rank, str) else rank).cast("bigint").alias("rid"))
+
+
+def _next_sweep(commands: DataFrame, sweeps: DataFrame, bucket_us: int) -> DataFrame:
+    """First sweep (``controller, us, rid``) later than each command's expiry, as ``swept``.
+
+    A prefix maximum over reversed time, so it is chained in buckets like the others.
+    """
+    marks = commands.select(
+        "controller", (-F.col("expires_us")).alias("nt"), F.lit(0).alias("k"), "command_id",
+        F.lit(None).cast("struct<us:bigint,rid:bigint>").alias("v"), F.lit(0).cast("bigint").alias("nr"),
     )
-    asked = checked.where(F.col("reason").isNull()).select(
-        "controller", "us", F.lit(1).alias("rank"), "request_id", "kind", "sequence",
-        "command_id", "outcome", none.cast("bigint").alias("expires_us"),
+    times = sweeps.select(
+        "controller", (-F.col("us")).alias("nt"), F.lit(1).alias("k"),
+        F.lit(None).cast("string").alias("command_id"),
+        F.struct((-F.col("us")).alias("us"), (-F.col("rid")).alias("rid")).alias("v"),
+        (-F.col("rid")).alias("nr"),
+    )
+    found = prefix_max(
+        marks.unionByName(times), ["controller"], "nt", ["nt", "k", "nr"], "v", "m", bucket_us
+    ).where(F.col("k") == 0)
+    back = F.struct((-F.col("m.us")).alias("us"), (-F.col("m.rid")).alias("rid"))
+    return found.select("command_id", F.when(F.col("m").isNotNull(), back).alias("swept"))
+
+
+def _poll_candidates(polls: DataFrame, commands: DataFrame, bucket_us: int) -> DataFrame:
+    """Polls with the commands whose lifetime covers them; bucketed interval join."""
+    first, last = bucket_of("issued_us", bucket_us), bucket_of("expires_us", bucket_us)
+    spans = commands.select(
+        "controller", "command_id", F.col("sequence").alias("rank"), "issued_us", "expires_us",
+        F.explode(F.sequence(first, last)).alias("b"),
+    )
+    return (
+        polls.select("controller", "us", "request_id", bucket_of("us", bucket_us).alias("b"))
+        .join(spans, ["controller", "b"])
+        .where(F.col("us").between(F.col("issued_us"), F.col("expires_us")))
+        .select("request_id", "us", "command_id", "rank")
     )
-    log = issues.unionByName(asked)
-    if samples is not None:
-        ticks = samples.select(
-            "controller", "us", F.lit(0).alias("rank"), none.cast("bigint").alias("request_id"),
-            F.lit("sample").alias("kind"), none.cast("bigint").alias("sequence"),
-            none.cast("string").alias("command_id"), none.cast("string").alias("outcome"),
-            none.cast("bigint").alias("expires_us"),
-        )
-        log = log.unionByName(ticks)
-    return log
 
 
 def decide_requests(
@@ -381,30 +314,106 @@ def decide_requests(
     controllers: DataFrame,
     key: bytes,
     samples: DataFrame | None = None,
+    bucket_seconds: int = 3600,
 ) -> DataFrame:
     """Verdict of every controller request in arrival order.
 
-    A refused ACK does not advance the sequence, so a running maximum would be wrong here. The
-    log is sorted by controller and time within partitions and folded as a stream of Arrow
-    batches: a task holds one batch and the state of one controller, never its log.
+    A refused ACK does not advance the sequence, so one running maximum does not settle it.
+    But the verdict of a request follows from which earlier ones were accepted, and given
+    those, sequences are prefix maxima and command states are aggregates per command. So the
+    accepted set is refined until it stays the same: after each round all verdicts before the
+    first unsettled request are final. A few rounds do in practice, and no controller's log is
+    ever handled by one task.
     """
+    bucket = int(bucket_seconds * 1_000_000)
     checked = materialise(check_requests(requests, controllers, key))
-    log = request_log(checked, commands, samples)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            out = []
-            for name, rows in batch.groupby("controller", sort=False):
-                if name != current:
-                    current, state = name, ControllerState()
-                out += fold_rows(state, rows)
-            yield pd.DataFrame(out, columns=["request_id", "verdict", "delivered"])
-
-    verdicts = (
-        log.repartition("controller")
-        .sortWithinPartitions("controller", "us", "rank", "request_id")
-        .mapInPandas(fold, "request_id bigint, verdict string, delivered string")
+    asked = checked.where(F.col("reason").isNull()).select(
+        "controller", "us", "request_id", "kind", "sequence", "command_id", "outcome"
+    )
+    is_poll = F.col("kind") == "motor_poll"
+    covered = materialise(_poll_candidates(asked.where(is_poll), commands, bucket))
+    ticks = commands.select("controller", F.col("issued_us").alias("us"))
+    if samples is not None:
+        ticks = ticks.union(samples.select("controller", "us"))
+    ticks = ticks.select("controller", "us", F.lit(-1).cast("bigint").alias("rid"))
+    place = _order("us", "request_id")
+
+    def rate(rows: DataFrame) -> DataFrame:
+        """Sequence check for rows with ``fit``: would be accepted but for their sequence."""
+        seen = F.when(F.col("fit"), F.col("sequence"))
+        ranked = prefix_max(
+            rows, ["controller"], "us", ["us", "request_id"], seen, "last", bucket
+        )
+        new = F.col("sequence") > F.coalesce("last", F.lit(0))
+        return ranked.withColumn("new", new).withColumn("ok", F.col("fit") & new)
+
+    def accepted(rows: DataFrame):
+        mark = F.sum(F.xxhash64("request_id").cast("decimal(38,0)"))
+        return rows.where("ok").agg(F.count("*"), mark).first()
+
+    current = materialise(
+        rate(asked.withColumns({"fit": F.lit(True), "conflict": F.lit(False)}))
+        .withColumn("delivered", F.lit(None).cast("string"))
+    )
+    settled = accepted(current)
+    while True:
+        ok = current.where("ok")
+        acks = (
+            ok.where(~is_poll)
+            .groupBy("command_id")
+            .agg(F.min(F.struct(place.alias("at"), "outcome")).alias("a"))
+            .select("command_id", F.col("a.at").alias("acked"), F.col("a.outcome").alias("first_outcome"))
+        )
+        # A poll delivers the first open command: covered by time and not acknowledged before.
+        sent = (
+            covered.join(ok.where(is_poll).select("request_id"), "request_id", "left_semi")
+            .join(acks.select("command_id", "acked"), "command_id", "left")
+            .where(F.col("acked").isNull() | (F.col("acked") > place))
+            .groupBy("request_id")
+            .agg(F.min_by(F.struct("command_id", place.alias("at")), "rank").alias("d"))
+            .select("request_id", "d.command_id", "d.at")
+        )
+        first_sent = sent.groupBy("command_id").agg(F.min("at").alias("sent"))
+        sweeps = ticks.union(
+            ok.where(is_poll).select("controller", "us", F.col("request_id").alias("rid"))
+        )
+        states = (
+            commands.select("controller", "command_id", _order("issued_us", F.lit(-1)).alias("issued"))
+            .join(_next_sweep(commands, sweeps, bucket), "command_id")
+            .join(first_sent, "command_id", "left")
+            .join(acks, "command_id", "left")
+        )
+        before = {
+            c: F.coalesce(F.col(c) < place, F.lit(False)) for c in ("issued", "sent", "swept", "acked")
+        }
+        known = before["issued"] & (before["sent"] | before["swept"] | before["acked"])
+        conflict = before["acked"] & (F.col("first_outcome") != F.col("outcome"))
+        # Only ACKs name a command; polls always fit.
+        rated = (
+            asked.where(~is_poll)
+            .join(states, ["controller", "command_id"], "left")
+            .withColumn("conflict", F.coalesce(conflict, F.lit(False)))
+            .withColumn("fit", known & ~F.col("conflict"))
+            .select(*asked.columns, "fit", "conflict")
+            .union(asked.where(is_poll).select("*", F.lit(True), F.lit(False)))
+        )
+        deliveries = sent.select("request_id", F.col("command_id").alias("delivered"))
+        current = materialise(
+            rate(rated).join(deliveries, "request_id", "left").select(*current.columns)
+        )
+        now = accepted(current)
+        if now == settled:  # the next round would start from the same set
+            break
+        settled = now
+    verdict = (
+        F.when(~F.col("new"), "REPLAY_OR_SEQUENCE_RESET")
+        .when(is_poll, "MOTOR_POLL_ACCEPTED")
+        .when(F.col("conflict"), "CONFLICTING_ACK")
+        .when(F.col("fit"), "MOTOR_ACK_ACCEPTED")
+        .otherwise("COMMAND_NOT_DELIVERED")
+    )
+    verdicts = current.select(
+        "request_id", verdict.alias("verdict"), F.when(F.col("ok"), F.col("delivered")).alias("delivered")
     )
     return (
         checked.join(verdicts, "request_id", "left")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sentrel.functions import fixed
-from sentrel.operators import commands as cmd
 from sentrel.operators import flows, telemetry
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -118,6 +117,81 @@ def stream_commands(
     return issued.withColumn("command_id", digest)
 
 
+class ControllerState:
+    """Sequence and command states of one controller; a fold over its ordered log."""
+
+    def __init__(self, last: int = 0, commands: dict | None = None):
+        self.last = last
+        # command id -> [status, outcome, expiry, sequence]
+        self.commands = commands if commands is not None else {}
+        self.open = [c for c, s in self.commands.items() if s[0] in ("PENDING", "DELIVERED")]
+
+    def _expire(self, now: int) -> None:
+        still = []
+        for c in self.open:
+            state = self.commands[c]
+            if state[0] not in ("PENDING", "DELIVERED"):
+                continue
+            if state[2] < now:
+                state[0], state[1] = "EXPIRED", "UNKNOWN"
+            else:
+                still.append(c)
+        self.open = still
+
+    def sample(self, now: int) -> None:
+        self._expire(now)
+
+    def issue(self, now: int, command: str, expires: int, sequence: int) -> None:
+        self._expire(now)
+        self.commands[command] = ["PENDING", None, expires, sequence]
+        self.open.append(command)
+
+    def poll(self, now: int, sequence: int) -> tuple[str, str | None]:
+        if sequence <= self.last:
+            return "REPLAY_OR_SEQUENCE_RESET", None
+        self._expire(now)
+        found = min(self.open, key=lambda c: self.commands[c][3], default=None)
+        if found is not None:
+            self.commands[found][0] = "DELIVERED"
+        self.last = sequence
+        return "MOTOR_POLL_ACCEPTED", found
+
+    def ack(self, sequence: int, command: str, outcome: str) -> str:
+        if sequence <= self.last:
+            return "REPLAY_OR_SEQUENCE_RESET"
+        state = self.commands.get(command)
+        if state is None or state[0] == "PENDING":
+            return "COMMAND_NOT_DELIVERED"
+        if state[0] == "ACKNOWLEDGED" and state[1] != outcome:
+            return "CONFLICTING_ACK"
+        state[0], state[1] = "ACKNOWLEDGED", outcome
+        self.last = sequence
+        return "MOTOR_ACK_ACCEPTED"
+
+
+FOLD_COLUMNS = [
+    "controller", "us", "rank", "request_id", "kind", "sequence", "command_id", "outcome",
+    "expires_us",
+]
+
+
+def fold_rows(state: ControllerState, rows: pd.DataFrame) -> list[tuple]:
+    """Run ordered log rows through the state; verdicts of the requests among them."""
+    out = []
+    for r in rows.itertuples(index=False):
+        if r.kind == "issue":
+            state.issue(r.us, r.command_id, int(r.expires_us), int(r.sequence))
+        elif r.kind == "sample":
+            state.sample(r.us)
+        elif r.kind == "motor_poll":
+            reason, sent = state.poll(r.us, int(r.sequence))
+            out.append((int(r.request_id), reason, sent))
+        else:
+            reason = state.ack(int(r.sequence), r.command_id, r.outcome)
+            out.append((int(r.request_id), reason, None))
+    return out
+
+
 class ControllerLog(StatefulProcessor):
     """The controller fold with its state in the store; loads only commands a batch touches."""
 
@@ -136,8 +210,8 @@ class ControllerLog(StatefulProcessor):
             for c in wanted
             if self._commands.containsKey((c,))
         }
-        state = cmd.ControllerState(last, known)
-        out = cmd.fold_rows(state, batch)
+        state = ControllerState(last, known)
+        out = fold_rows(state, batch)
         for c, value in state.commands.items():
             self._commands.updateValue((c,), tuple(value))
         still = [c for c in state.open if state.commands[c][0] in ("PENDING", "DELIVERED")]
@@ -149,8 +223,8 @@ class ControllerLog(StatefulProcessor):
 
 
 def stream_requests(log: DataFrame) -> DataFrame:
-    """Verdicts for a stream of log rows in ``commands.FOLD_COLUMNS``."""
-    return log.select(*cmd.FOLD_COLUMNS).groupBy("controller").transformWithStateInPandas(
+    """Verdicts for a stream of log rows in ``FOLD_COLUMNS``."""
+    return log.select(*FOLD_COLUMNS).groupBy("controller").transformWithStateInPandas(
         ControllerLog(),
         "request_id bigint, reason string, delivered string",
         outputMode="Append",

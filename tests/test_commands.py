@@ -204,9 +204,9 @@ def test_request_stream_equals_fold(spark, tmp_path):
     )
     log = spark.createDataFrame(rows, schema)
     want = dict(
-        (r[0], (r[1], r[2])) for r in cmd.fold_rows(
-            cmd.ControllerState(),
-            pd.DataFrame(sorted(rows, key=lambda r: (r[1], r[2], r[3] or 0)), columns=cmd.FOLD_COLUMNS),
+        (r[0], (r[1], r[2])) for r in jobs.fold_rows(
+            jobs.ControllerState(),
+            pd.DataFrame(sorted(rows, key=lambda r: (r[1], r[2], r[3] or 0)), columns=jobs.FOLD_COLUMNS),
         )
     )
     src = str(tmp_path / "in")
@@ -217,3 +217,32 @@ def test_request_stream_equals_fold(spark, tmp_path):
     jobs.append_to(jobs.stream_requests(stream), out, str(tmp_path / "cp")).awaitTermination()
     got = {r["request_id"]: (r["reason"], r["delivered"]) for r in spark.read.parquet(out).collect()}
     assert got == want and len({v[0] for v in want.values()}) >= 4
+
+
+@pytest.mark.parametrize("seed,gap,life", [(0, 20, 10), (1, 6, 15), (2, 20, 10), (3, 4, 9)])
+def test_requests_equal_fold(spark, seed, gap, life):
+    """Random logs with repeats, early and late ACKs; commands overlap in two of the cases."""
+    rng = random.Random(seed)
+    commands = [issue(n, n * gap, life) for n in range(1, 15)]
+    ticks = [n * 7 for n in range(20)] if seed % 2 else []
+    rows, log, seq = [], [], 1
+    for i in range(150):
+        at = i * 2 + rng.choice([0, 1])
+        seq = max(1, seq + rng.choice([-2, 0, 1, 1, 1, 2, 4]))
+        if rng.random() < 0.5:
+            rows.append((i, at, "motor_poll", request("motor_poll", seq, at), None))
+            log.append(("m", (NOW + at) * S, 1, i, "motor_poll", seq, None, None, None))
+        else:
+            n = max(1, min(15, at // gap + rng.choice([-2, -1, 0, 0, 1])))
+            outcome = rng.choice(["REJECTED", "REJECTED", "FAILED_OFF"])
+            rows.append((i, at, "motor_ack", ack(seq, at, n, outcome), None))
+            log.append(("m", (NOW + at) * S, 1, i, "motor_ack", seq, f"{n:032d}", outcome, None))
+    for c in commands:
+        log.append(("m", c[4], 0, None, "issue", c[2], c[1], None, c[5]))
+    log += [("m", (NOW + t) * S, 0, None, "sample", None, None, None, None) for t in ticks]
+    log.sort(key=lambda r: (r[1], r[2], -1 if r[3] is None else r[3]))
+    frame = pd.DataFrame(log, columns=jobs.FOLD_COLUMNS)
+    want = {i: (reason, sent) for i, reason, sent in jobs.fold_rows(jobs.ControllerState(), frame)}
+    tick = samples(spark, [NOW + t for t in ticks]) if ticks else None
+    assert decide(spark, rows, commands, tick) == want
+    assert len({v[0] for v in want.values()}) >= 3
