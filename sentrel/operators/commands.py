@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import bucket_of, evaluated_once, hmac_sha256, is_hex64
-from sentrel.functions.staging import materialise
+from sentrel.functions.staging import broadcast_if_small, materialise
 from sentrel.operators.telemetry import fresh, is_number, json_type, strict_json
 from sentrel.operators.windows import prefix_max
 
@@ -216,11 +216,8 @@ def check_requests(requests: DataFrame, controllers: DataFrame, key: bytes) -> D
             "outcome": value("$.outcome", "string"),
         }
     )
-    known = controllers.select("controller").distinct()
-    joined = parsed.join(known, F.col("__device") == F.col("controller"), "left")
     right_kind = (
-        kind_of("$").startswith("OBJECT")
-        & (kind_of("$.message_type") == "STRING")
+        (kind_of("$.message_type") == "STRING")
         & (value("$.message_type", "string") == F.col("kind"))
         & kind_of("$.device_id").isNotNull()
     )
@@ -243,27 +240,46 @@ def check_requests(requests: DataFrame, controllers: DataFrame, key: bytes) -> D
     signed = is_hex64("signature") & (
         F.lower("signature") == hmac_sha256("raw", key)
     )
-    reason = (
+    early = (
         F.when(F.lit(not key), "MOTOR_NOT_CONFIGURED")
         .when(fails(signed), "INVALID_HMAC")
         .when(fails(right_kind), "INVALID_SCHEMA")
-        .when(F.col("controller").isNull(), "WRONG_DEVICE")
-        .when(fails(typed), "INVALID_SCHEMA")
-        .when(fails(fresh("received_at", value("$.timestamp", "double"))), "INVALID_TIMESTAMP")
+    )
+    late = F.when(fails(typed), "INVALID_SCHEMA").when(
+        fails(fresh("received_at", value("$.timestamp", "double"))), "INVALID_TIMESTAMP"
     )
     is_ack = F.col("kind") == "motor_ack"
-    return evaluated_once(
-        joined,
+    rated = evaluated_once(
+        parsed,
         ["request_id", "received_at"],
         {
             "us": F.unix_micros("received_at"),
             "request_sha256": F.sha2("raw", 256),
-            **{c: F.col(c) for c in ("kind", "controller", "sequence")},
+            "kind": F.col("kind"),
+            "sequence": F.col("sequence"),
             "command_id": F.when(is_ack, F.col("command_id")),
             "outcome": F.when(is_ack, F.col("outcome")),
-            "reason": reason,
+            "__device": F.col("__device"),
+            "early": early,
+            "late": late,
         },
     )
+    known = controllers.select("controller").distinct()
+    known = broadcast_if_small(known.withColumn("__k", F.concat(F.lit("="), "controller")))
+    own = F.concat(F.lit("#"), F.col("request_id").cast("string"))
+    keyed = rated.withColumn(
+        "__k",
+        F.when(
+            F.col("early").isNull() & F.col("__device").isNotNull(),
+            F.concat(F.lit("="), "__device"),
+        ).otherwise(own),
+    )
+    unknown = F.when(F.col("controller").isNull(), "WRONG_DEVICE")
+    joined = keyed.join(known, "__k", "left")
+    return joined.select(
+        "request_id", "received_at", "us", "request_sha256", "kind", "controller", "sequence",
+        "command_id", "outcome", F.coalesce("early", unknown, "late").alias("reason"),
+    )
 
 
 def _order(us: str, rank: Column | str) -> Column:
