@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import severity_weight, title_case
+from sentrel.operators import graph
 
 def _benign():
     return F.col("type").eqNullSafe("BENIGN")
@@ -306,3 +307,16 @@ def select_incident(reports: DataFrame, incidents: DataFrame, wanted: str) -> Da
     )
     miss = (F.col("incident_id") != wanted).cast("int")
     return both.orderBy(miss, "origin", "incident_id", "source").limit(1)
+
+
+def dashboard(events: DataFrame, incidents: DataFrame) -> dict[str, DataFrame]:
+    """The dashboard as tables: totals, counts, incidents, timeline and graph."""
+    return {
+        "summary": summary(events, incidents),
+        "threat_types": threat_counts(events),
+        "severity": severity_counts(events),
+        "incidents": incidents,
+        "timeline": timeline(events).orderBy("ts_us", "event_id"),
+        "nodes": graph.graph_nodes(events),
+        "edges": graph.graph_edges(events),
+    }

@@ -56,7 +56,9 @@ def _single_edges(ev: DataFrame, keys: list[str], criteria: dict[int, Criterion]
     def cut(time, order, keep):
         rank = F.row_number().over(part.orderBy(*order, "val"))
         kept = seen.withColumn("rk", rank).where(F.col("rk") <= keep)
-        return kept.select(*keys, "slice", "crit", "val", F.col(time).alias("t"))
+        return kept.select(
+            *keys, "slice", "crit", "val", F.lit(1).alias("rk"), F.col(time).alias("t")
+        )
 
     latest = cut("hi", [F.col("hi").desc(), F.col("lo")], most)
     return latest, cut("lo", [F.col("lo"), F.col("hi")], 2 * most - 1)
@@ -71,7 +73,7 @@ def _repeat_edges(ev: DataFrame, keys: list[str], n: int, crit: Criterion):
 
     def cut(order):
         rank = F.row_number().over(part.orderBy(order))
-        return rows.withColumn("rk", rank).where(F.col("rk") <= crit.repeats).drop("rk")
+        return rows.withColumn("rk", rank).where(F.col("rk") <= crit.repeats)
 
     return cut(F.col("t").desc()), cut(F.col("t"))
 
@@ -79,17 +81,19 @@ def _repeat_edges(ev: DataFrame, keys: list[str], n: int, crit: Criterion):
 def _ranges(repeats: int, width: int) -> Column:
     """Disjoint ranges of start instants for which a value is seen ``repeats`` times.
 
-    Reads ``ls``, its latest times in the slice, and ``rs``, its earliest in the next one.
+    Reads ``l1, l2, ...``, its latest times in the slice, and ``r1, r2, ...``, its earliest in
+    the next one.
     """
     first = F.col("slice") * width
     final = first + (width - 1)
     ranges, covered = [], F.lit(None).cast("bigint")
     for i in range(repeats + 1):  # i occurrences in the next slice, the others in this one
         own = repeats - i
-        lo = F.get("rs", F.lit(i - 1)) - width if i else first
-        hi = F.get("ls", F.lit(own - 1)) if own else final
-        lo = F.greatest(lo, first, covered + 1) if i else lo
-        exists = (F.size("rs") >= i) & (F.size("ls") >= own) & (lo <= hi)
+        lo = F.greatest(F.col(f"r{i}") - width, first, covered + 1) if i else first
+        hi = F.col(f"l{own}") if own else final
+        exists = lo <= hi
+        if i:
+            exists = exists & F.col(f"r{i}").isNotNull()
         ranges.append(F.when(exists, F.struct(lo.alias("lo"), hi.alias("hi"))))
         covered = F.greatest(covered, F.when(exists, hi))
     return F.array_compact(F.array(*ranges))
@@ -123,9 +127,9 @@ def first_windows(
     cols = [*keys, "slice", "crit", "val"]
     sides = []
     for latest, earliest in edges:
-        sides.append(latest.select(*cols, F.col("t").alias("l"), none.alias("r")))
+        sides.append(latest.select(*cols, "rk", F.col("t").alias("l"), none.alias("r")))
         before = earliest.withColumn("slice", F.col("slice") - 1)
-        sides.append(before.select(*cols, none.alias("l"), F.col("t").alias("r")))
+        sides.append(before.select(*cols, "rk", none.alias("l"), F.col("t").alias("r")))
     # From here on a (key, slice) has a bounded number of rows, so one shuffle on it serves the
     # grouping by value and the sweep.
     values = (
@@ -133,8 +137,11 @@ def first_windows(
         .repartition(*keys, "slice")
         .groupBy(*cols)
         .agg(
-            F.sort_array(F.collect_list("l"), asc=False).alias("ls"),
-            F.sort_array(F.collect_list("r")).alias("rs"),
+            *[
+                F.max(F.when(F.col("rk") == i, F.col(side))).alias(f"{side}{i}")
+                for side in ("l", "r")
+                for i in range(1, max(c.repeats for c in criteria) + 1)
+            ]
         )
     )
     ranges = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
@@ -149,7 +156,7 @@ def first_windows(
     )
     sweep = (
         values.withColumn("g", ranges)
-        .withColumn("last_t", F.when(F.col("crit") == -1, F.get("ls", F.lit(0))))
+        .withColumn("last_t", F.when(F.col("crit") == -1, F.col("l1")))
         .select(*keys, "slice", "crit", "last_t", F.inline(bounds))
     )
     part = Window.partitionBy(*keys, "slice")

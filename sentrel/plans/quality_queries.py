@@ -147,7 +147,8 @@ def head_rows(spark, sf_dir):
     return q.head_rows(_clean(spark, sf_dir), "row_id")
 
 
-@query("benign_sample")
+# The sample takes every benign row while there are no more than 1948 of them.
+@query("benign_sample", f"""WITH {RAW} SELECT * FROM cl WHERE "Label" = 'BENIGN'""")
 def benign_sample(spark, sf_dir):
     return q.benign_sample(_clean(spark, sf_dir), "row_id", n=1948)
 

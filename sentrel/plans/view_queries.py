@@ -268,9 +268,34 @@ def timeline_axis(spark, sf_dir):
     return marts.axis_markers(_timeline(spark, sf_dir)).withColumn("at_ms", F.round("at_ms", 1))
 
 
-@query("timeline_clusters")
+@query(
+    "timeline_clusters",
+    f"""WITH RECURSIVE {SEC}, {TIMELINE},
+    l AS (SELECT ts_us // 1000 AS ms, seq, event_id, severity, CASE severity WHEN 'CRITICAL' THEN 4
+        WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS w
+      FROM tl ORDER BY ts_us DESC, seq DESC LIMIT 200),
+    r AS (SELECT *, row_number() OVER (ORDER BY ms, seq) AS rn FROM l),
+    p AS (SELECT min(ms) AS lo, max(ms) - min(ms) AS len,
+      CASE WHEN max(ms) = min(ms) THEN 300000.0::DOUBLE
+        ELSE (max(ms) - min(ms)) * 0.05::DOUBLE END AS pad FROM l),
+    b AS (SELECT lo - pad AS m, len + 2 * pad AS d FROM p),
+    f AS (SELECT rn, 0 AS g, event_id AS id, 1 AS n, ms::DOUBLE AS total,
+        (ms - m) / d * 100 AS pct, severity AS sev, w FROM r CROSS JOIN b WHERE rn = 1
+      UNION ALL SELECT r.rn, CASE WHEN near THEN f.g ELSE f.g + 1 END,
+        CASE WHEN near THEN f.id ELSE r.event_id END, CASE WHEN near THEN f.n + 1 ELSE 1 END,
+        CASE WHEN near THEN f.total + r.ms ELSE r.ms END,
+        CASE WHEN near THEN ((f.total + r.ms) / (f.n + 1) - m) / d * 100
+          ELSE (r.ms - m) / d * 100 END,
+        CASE WHEN near AND f.w >= r.w THEN f.sev ELSE r.severity END,
+        CASE WHEN near THEN greatest(f.w, r.w) ELSE r.w END
+      FROM f JOIN r ON r.rn = f.rn + 1 CROSS JOIN b,
+        LATERAL (SELECT (r.ms - m) / d * 100 - f.pct < 4 AS near))
+    SELECT CAST(g AS INT) AS position, arg_max(id, rn) AS id, max(n) AS n,
+      round(arg_max(pct, rn), 6) AS pct, arg_max(sev, rn) AS max_severity FROM f GROUP BY g""",
+)
 def timeline_clusters(spark, sf_dir):
-    return marts.timeline_groups(_timeline(spark, sf_dir))
+    groups = marts.timeline_groups(_timeline(spark, sf_dir))
+    return groups.withColumn("pct", F.round("pct", 6))
 
 
 @query(
