@@ -29,7 +29,7 @@ def authorise(
     samples: DataFrame,
     gap_seconds: float = fixed.COMMAND_GAP_SECONDS,
     lifetime_seconds: float = fixed.COMMAND_LIFETIME_SECONDS,
-    bucket_seconds: int = 600,
+    bucket_seconds: int = 60,
 ) -> DataFrame:
     """Accepted samples (``controller, us, decision_id``) to commands.
 

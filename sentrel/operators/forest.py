@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
+from sentrel.functions.staging import materialise
 from sentrel.operators import evaluation, quality
 
 
@@ -24,9 +25,11 @@ def train_forest(
     seed: int = fixed.SEED,
 ) -> PipelineModel:
     """Forest with balanced class weights; missing and infinite features count as 0."""
-    # One row per class, so the join is small on that side by nature.
-    weights = quality.class_weights(train, label).select(
-        F.col("label").alias(label), F.col("weight").alias("class_weight")
+    # One row per class; written out, so that the planner sees how small it is.
+    weights = materialise(
+        quality.class_weights(train, label).select(
+            F.col("label").alias(label), F.col("weight").alias("class_weight")
+        )
     )
     rows = quality.model_input(train.select(label, *[f"`{c}`" for c in features]), features)
     indexer = StringIndexer(inputCol=label, outputCol="class_index", stringOrderType="alphabetAsc")

@@ -219,8 +219,8 @@ def chain_incidents(
 def chain_members(events: DataFrame, min_repeats: int = fixed.MIN_REPEATS, **params) -> DataFrame:
     """Window events limited to the repeated behaviours."""
     inside = chain_window(events, min_repeats=min_repeats, **params)
-    repeated = chain_behaviours(inside, min_repeats).where("repeated")
-    return inside.join(repeated.select("incident_id", "type"), ["incident_id", "type"], "left_semi")
+    repeated = chain_behaviours(inside, min_repeats).where("repeated").select("incident_id", "type")
+    return inside.join(materialise(repeated), ["incident_id", "type"], "left_semi")
 
 
 def repeated_behaviours(events: DataFrame, min_repeats: int = fixed.MIN_REPEATS) -> DataFrame:
@@ -268,9 +268,14 @@ def history_members(
     min_behaviours: int = fixed.MIN_BEHAVIOURS,
     min_repeats: int = fixed.MIN_REPEATS,
 ) -> DataFrame:
-    pairs = (
-        history_incidents(events, min_behaviours, min_repeats)
-        .select("incident_id", F.col("source").alias("src"), F.explode("behaviors").alias("kind"))
+    found = materialise(history_incidents(events, min_behaviours, min_repeats))
+    return members_of_history(events, found)
+
+
+def members_of_history(events: DataFrame, found: DataFrame) -> DataFrame:
+    """Events behind given whole-history incidents."""
+    pairs = found.select(
+        "incident_id", F.col("source").alias("src"), F.explode("behaviors").alias("kind")
     )
     rows = suspicious(events).withColumn("kind", F.coalesce("type", F.lit("UNKNOWN")))
     return rows.join(pairs, ["src", "kind"]).select(
@@ -321,14 +326,15 @@ def correlate(
 ) -> tuple[DataFrame, DataFrame]:
     """Deduplicated incidents of the three rules, and the bridge table of their events."""
     recon = materialise(recon_members(events, window_seconds=window_seconds))
+    history = materialise(history_incidents(events))
     unknown = unknown_incidents(events)
-    found = combine(summarise_recon(recon), unknown, history_incidents(events))
+    found = combine(summarise_recon(recon), unknown, history)
     # Of a pattern's events from one source, deduplication keeps the last.
     last = deduplicate(combine(unknown))
     cols = ["incident_id", F.col("src").alias("source"), "seq"]
     members = (
         recon.select(*cols)
         .union(last.select("incident_id", "source", F.col("emit_seq").alias("seq")))
-        .union(history_members(events).select(*cols))
+        .union(members_of_history(events, history).select(*cols))
     )
     return deduplicate(found).select(*INCIDENT_COLUMNS), members

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import finite_or, lookup
+from sentrel.functions.staging import materialise
 from sentrel.operators.windows import numbered, quantiles
 
 
@@ -58,7 +59,7 @@ def clean(
     missing = missing_features(raw, features)
     if missing:
         raise ValueError(f"missing features: {missing}")
-    usable = usable_files(raw, features, file)
+    usable = materialise(usable_files(raw, features, file))
     compared = [c for c in raw.columns if c not in keep]
     unique = raw.dropDuplicates(compared) if keep else raw.distinct()
     number = {c: F.col(f"`{c}`").try_cast("double") for c in features}

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentrel.functions.scalars import bucket_of
+from sentrel.functions.staging import materialise
 
 
 @dataclass(frozen=True)
@@ -165,7 +166,9 @@ def first_windows(
         # Coverage counts the values that a start instant satisfies.
         cover = F.sum(F.when(F.col("crit") == n, F.col("d"))).over(part.orderBy("p"))
         met = met | (F.coalesce(cover, F.lit(0)) >= crit.min_values)
-    points = (
+    # One row per key. Written out, its size is known, so the joins with all events broadcast it
+    # while it is small and shuffle otherwise.
+    points = materialise(
         sweep.withColumn("met", met)
         .withColumn("last_t", F.max("last_t").over(part))
         .where(F.col("met") & (F.col("p") <= F.col("last_t")))
@@ -173,7 +176,7 @@ def first_windows(
         .agg(F.min("p").alias("p"))
         .withColumn("slice", bucket_of("p", window_us))
     )
-    return (
+    return materialise(
         ev.select(*keys, "slice", "t")
         .join(points, [*keys, "slice"])
         .where(F.col("t") >= F.col("p"))
@@ -276,8 +279,10 @@ def quantiles(
         .groupBy(*keys, F.col(value).alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    edges = counts.groupBy(*keys).agg(
-        F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("e")
+    edges = materialise(
+        counts.groupBy(*keys).agg(
+            F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("e")
+        )
     )
     bucketed = counts.join(edges, keys).withColumn(
         "b", F.size(F.filter(F.array_distinct("e"), lambda x: x <= F.col("v")))
