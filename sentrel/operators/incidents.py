@@ -65,7 +65,7 @@ def evidence_port(events: DataFrame) -> Column:
 def _recon(rows, window_seconds, min_ports, min_destinations):
     """Starts and member rows of the first qualifying window of each source.
 
-    The reference asks for three events too; that many are implied as every event carries one
+    Three events are asked for too; that many are implied as every event carries one
     port and one destination.
     """
     width = window_seconds * 1_000_000

@@ -140,7 +140,7 @@ def _short(name):
     "flow_features",
     f"WITH {FLOWS} SELECT window_us, src, dst, src_port, dst_port, protocol, n AS packet_count, "
     + ", ".join(
-        f"round(CAST({x} AS DOUBLE), 6) AS {_short(n)}"
+        f"round(CAST({x} AS DOUBLE), 3) AS {_short(n)}"
         for x, n in zip(FEATURE_SQL, FLOW_FEATURES)
     )
     + " FROM g",
@@ -149,7 +149,7 @@ def flow_features(spark, sf_dir):
     found = flows.flow_features(packets(spark, sf_dir), FLOW_WINDOW_SECONDS)
     return found.select(
         "window_us", "src", "dst", "src_port", "dst_port", "protocol", "packet_count",
-        *[F.round(f"`{n}`", 6).alias(_short(n)) for n in FLOW_FEATURES],
+        *[F.round(f"`{n}`", 3).alias(_short(n)) for n in FLOW_FEATURES],
     )
 
 

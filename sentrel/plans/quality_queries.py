@@ -134,12 +134,13 @@ def table_shape(spark, sf_dir):
       unnest([f0, f1, f2]) AS v FROM cl)
     SELECT label, feature, count(v) AS count, round(avg(v), 6) AS mean,
       round(stddev_samp(v), 6) AS std, min(v) AS min, max(v) AS max,
-      quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75
+      round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS q50,
+      round(quantile_cont(v, 0.75), 6) AS q75
     FROM lg GROUP BY ALL""",
 )
 def describe_by_label(spark, sf_dir):
     stats = q.describe_by_label(_clean(spark, sf_dir), FEATURES, "Label")
-    return stats.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    return stats.withColumns({c: F.round(c, 6) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
 @query("head_rows", f"WITH {RAW} SELECT * FROM cl ORDER BY row_id LIMIT 100")

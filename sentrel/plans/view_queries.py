@@ -48,12 +48,12 @@ def graph_edges(spark, sf_dir):
     "graph_host_variant",
     f"""WITH {SEC}, {NODES}, v AS (SELECT id, CASE type WHEN 'SOURCE' THEN 'HOST' ELSE type END
         AS type FROM nodes)
-    SELECT v.type, count(*) AS nodes, (SELECT sum(coalesce(confidence, 0)) FROM sec)
+    SELECT v.type, count(*) AS nodes, (SELECT round(sum(coalesce(confidence, 0)), 6) FROM sec)
       AS total_confidence FROM v GROUP BY ALL""",
 )
 def graph_host_variant(spark, sf_dir):
     events = sec_events(spark, sf_dir)
-    total = graph.graph_edges(events, hosts_only=True).agg(F.sum("confidence")).scalar()
+    total = graph.graph_edges(events, hosts_only=True).agg(F.round(F.sum("confidence"), 6)).scalar()
     nodes = graph.graph_nodes(events, hosts_only=True)
     return nodes.groupBy("type").agg(F.count("*").alias("nodes")).withColumn(
         "total_confidence", total
@@ -106,14 +106,14 @@ def graph_search(spark, sf_dir):
 @query(
     "node_category",
     f"""WITH {SEC}, {NODES}, {EDGE_ENDS} SELECT n.id, n.type, coalesce(degree, 0) AS degree,
-      greatest(8.0::DOUBLE, log2(coalesce(degree, 0) + 2) * 5) AS weight,
+      round(greatest(8.0::DOUBLE, log2(coalesce(degree, 0) + 2) * 5), 6) AS weight,
       CASE WHEN length(n.id) > 18 THEN left(n.id, 18) || '...' ELSE n.id END AS label,
       '#808080' AS colour,
       CASE n.type WHEN 'SOURCE' THEN '#ef4444' ELSE '#10b981' END AS view_colour
     FROM nodes n LEFT JOIN deg USING (id)""",
 )
 def node_category(spark, sf_dir):
-    return graph.node_styles(*_graph(spark, sf_dir))
+    return graph.node_styles(*_graph(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query(

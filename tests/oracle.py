@@ -18,7 +18,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.9g}")
+        return v if os.environ.get("EXACT") else float(f"{v:.9g}")
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "item"):
