@@ -17,6 +17,7 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from sentrel.llm.common import read_ranks, slices, tokenizer_path, whole
 
@@ -219,8 +220,6 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text", out: str = "toke
     kept = [c for c in docs.columns if c != out]
     source = docs.select(*[f"`{c}`" for c in kept], whole(text).alias("__text"))
     fields = [f for f in docs.schema.fields if f.name != out]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +233,6 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text", out: str = "toke
 
 def decode(docs: DataFrame, rank_file: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes that a list of ids stands for (binary; null ids: null)."""
-    from pyspark.sql import types as T
-
     kept = [c for c in docs.columns if c != out]
     fields = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*fields, T.StructField(out, T.BinaryType())])
@@ -278,3 +275,40 @@ def round_trip(docs: DataFrame, rank_file: str, key: str = "doc_id", text: str =
             )
 
     return source.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, rank_file: str, text: str = "text") -> DataFrame:
+    """Replace ``text`` by ``token_ids``, ``n_tokens`` and ``ok``: the ids decode to the text.
+
+    Encoding and decoding happen in one pass; other columns stay, null texts count as empty.
+    """
+    made = ("token_ids", "n_tokens", "ok")
+    kept = [c for c in docs.columns if c not in (text, *made)]
+    schema = T.StructType(
+        [f for f in docs.schema.fields if f.name in kept]
+        + [
+            T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("ok", T.BooleanType()),
+        ]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(rank_file)
+        for batch in slices(batches, "__text"):
+            ids, ok = [], []
+            for value in batch.column("__text"):
+                said = value.as_py()
+                ids.append(bpe.encode(said))
+                ok.append(bpe.decode(ids[-1]) == said.encode())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(len(kept))]
+                + [
+                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.array([len(x) for x in ids], pa.int64()),
+                    pa.array(ok, pa.bool_()),
+                ],
+                [*kept, *made],
+            )
+
+    return docs.select(*[f"`{c}`" for c in kept], whole(text).alias("__text")).mapInArrow(run, schema)
