@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sentrel.functions.staging import staging_dir
-from sentrel.llm import bpe, chat, mixing, quality, token_counts, toxicity
+from sentrel.llm import bpe, chat, embeddings, html, minhash, mixing, quality, token_counts, toxicity, urls
 from sentrel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+@query("op3_minhash_near_duplicates")
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_counts")
 def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{staging_dir(spark)}/sentrel-token-counts-{uuid.uuid4().hex}"
@@ -52,6 +57,21 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents")).drop("quality")
 
 
+@query("op7_url_filter", urls.sql())
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op8_embedding_near_duplicates")
+def embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_main_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op10_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
