@@ -175,8 +175,12 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     only = docs.select(F.col(f"`{text}`").alias("text"))
     weights = fit(materialise(with_counts(only).drop("text")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    judged = judge(with_counts(docs.select(row, F.col(f"`{text}`").alias("__t")), "__t"), weights)
-    return judged.where("kept").select("__row.*")
+    counted = with_counts(docs.select(row, F.col(f"`{text}`").alias("__t")), "__t").drop("__t")
+    # A generator of one row: Spark does not move the filter below it, where it would make the
+    # counts once for every mention.
+    numbers = F.struct(*[F.col(c) for c in counted.columns if c != "__row"])
+    counted = counted.select("__row", F.inline(F.array(numbers)))
+    return judge(counted, weights).where("kept").select("__row.*")
 
 
 def sql(threshold: float = 0.5, rounds: int = ROUNDS) -> str:
