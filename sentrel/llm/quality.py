@@ -1,8 +1,9 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation weighs them.
 
-DataFrame functions only. Every rule gives 1 (good), -1 (bad) or 0 (no opinion). A rule that votes
-is right with an unknown accuracy; the accuracies and the share of good texts are estimated from
-the votes alone, and a text stays if its posterior probability of being good is high enough.
+DataFrame functions only. Every rule gives 1 (good), -1 (bad) or 0 (no opinion). How often a rule
+says what on good and on bad texts is unknown; these accuracies and the share of good texts are
+estimated from the votes alone, and a text stays if its posterior probability of being good is high
+enough.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from sentrel.llm.common import WORD, WORD_GAP, whole
 
 #: Names of the rules; see ``votes``.
 RULES = ("symbols", "repeats", "lines", "capitals", "word_length", "endings", "sentences")
-#: Rounds of expectation-maximisation, bounds of an accuracy, bounds of the share of good texts.
-ROUNDS, LOW, HIGH, SHARE = 12, 0.55, 0.98, 0.05
+#: What a rule can say, and rounds of expectation-maximisation.
+VOTES, ROUNDS = (-1, 0, 1), 12
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -102,13 +103,15 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(counts: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
-    """Estimate accuracies and the share of good texts from all rows' votes.
+def fit(counts: DataFrame, rounds: int = ROUNDS) -> dict[str, tuple[float, float, float]]:
+    """Estimate how often each rule votes -1, 0 and 1 on good and on bad texts, from votes alone.
 
     Rows are reduced to patterns of votes first (at most 3 ** len(RULES), whatever the input);
-    each round is one aggregate over that table and brings one row to the driver. Returns log-odds:
-    one weight per rule, and ``share``. Without rows, or for a rule that never votes, the start
-    values stay: accuracy 0.75, share 0.5.
+    each round is one aggregation over that table and brings one row to the driver. It starts from
+    votes that are right three times in four, which also says which of the two groups is the good
+    one; every count gets one more, so no vote ever decides alone. Returns the log-odds that each
+    vote of each rule adds; those of the share of good texts are in the first rule's. Without rows
+    the start values stay.
     """
     patterns = materialise(
         counts.select([v.cast("int").alias(k) for k, v in votes().items()])
@@ -116,35 +119,42 @@ def fit(counts: DataFrame, rounds: int = ROUNDS) -> dict[str, float]:
         .agg(F.count("*").cast("double").alias("n"))
         .coalesce(1)
     )
-    weights = {k: log(3.0) for k in RULES} | {"share": 0.0}
+    weights = {k: (-log(3.0), 0.0, log(3.0)) for k in RULES}
     n, p = F.col("n"), F.col("p")
-    sums = [
-        (
-            F.sum(n * F.when(F.col(k) > 0, p).when(F.col(k) < 0, 1 - p))
-            / F.sum(F.when(F.col(k) != 0, n))
-        ).alias(k)
-        for k in RULES
-    ] + [(F.sum(n * p) / F.sum("n")).alias("share")]
+    sums = [F.sum(n * p).alias("good"), F.sum(n * (1 - p)).alias("bad")]
+    for k in RULES:
+        for v in VOTES:
+            sums.append(F.sum(F.when(F.col(k) == v, n * p).otherwise(0.0)).alias(f"good {k} {v}"))
+            sums.append(F.sum(F.when(F.col(k) == v, n * (1 - p)).otherwise(0.0)).alias(f"bad {k} {v}"))
     for _ in range(rounds):
         row = patterns.withColumn("p", posterior(weights)).agg(*sums).first()
-        accuracy = {k: min(max(0.75 if row[k] is None else row[k], LOW), HIGH) for k in RULES}
-        share = min(max(0.5 if row["share"] is None else row["share"], SHARE), 1 - SHARE)
-        weights = {k: log(a / (1 - a)) for k, a in accuracy.items()} | {"share": log(share / (1 - share))}
+        if row["good"] is None:
+            break
+        share = log((row["good"] + 1) / (row["bad"] + 1))
+        base = log((row["bad"] + 3) / (row["good"] + 3))
+        weights = {
+            k: tuple(
+                log((row[f"good {k} {v}"] + 1) / (row[f"bad {k} {v}"] + 1)) + base + (share if k == RULES[0] else 0.0)
+                for v in VOTES
+            )
+            for k in RULES
+        }
     return weights
 
 
-def posterior(weights: dict[str, float], vote: dict[str, Column] | None = None) -> Column:
+def posterior(weights: dict[str, tuple], vote: dict[str, Column] | None = None) -> Column:
     """Probability that a text is good, given its votes (columns named like the rules by default).
 
-    The weights stand in one array literal, so the code Spark compiles is the same for every round.
+    The weights stand in array literals, so the code Spark compiles is the same for every round.
     """
-    voted = [F.col(k) if vote is None else vote[k] for k in RULES] + [F.lit(1)]
-    weight = F.array(*[F.lit(float(weights[k])) for k in (*RULES, "share")])
-    terms = F.zip_with(F.array(*[v.cast("double") for v in voted]), weight, lambda v, w: v * w)
-    return 1 / (1 + F.exp(-F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
+    odds = None
+    for k in RULES:
+        one = F.get(F.array(*[F.lit(float(w)) for w in weights[k]]), (F.col(k) if vote is None else vote[k]) + 1)
+        odds = one if odds is None else odds + one
+    return 1 / (1 + F.exp(-odds))
 
 
-def judge(counts: DataFrame, weights: dict[str, float], threshold: float = 0.5) -> DataFrame:
+def judge(counts: DataFrame, weights: dict[str, tuple], threshold: float = 0.5) -> DataFrame:
     """Add ``base_failed``, ``quality`` (posterior) and ``kept`` to counted rows."""
     return (
         counts.withColumn("quality", posterior(weights, votes()))
@@ -202,19 +212,25 @@ def sql(threshold: float = 0.5, rounds: int = ROUNDS) -> str:
             "50 * n_ends >= n_words AND 5 * n_ends <= n_words",
         ),
     }
-    start = ", ".join(f"ln(3.0) AS w_{k}" for k in rules)
-    steps = [f"r0 AS (SELECT {start}, 0.0 AS w_share)"]
-    odds = " + ".join(["w_share", *[f"w_{k} * {k}" for k in rules]])
+    names = {-1: "m", 0: "z", 1: "p"}
+    cells = [(k, v) for k in rules for v in VOTES]
+    start = ", ".join(f"{v} * ln(3.0) AS {k}_{names[v]}" for k, v in cells)
+    steps = [f"r0 AS (SELECT {start})"]
+    odds = " + ".join(f"CASE {k} WHEN -1 THEN {k}_m WHEN 0 THEN {k}_z ELSE {k}_p END" for k in rules)
     for i in range(1, rounds + 1):
-        acc = ", ".join(
-            f"least(greatest(coalesce(sum(CASE WHEN {k} > 0 THEN n * p WHEN {k} < 0 THEN n * (1 - p) END)"
-            f" / sum(CASE WHEN {k} <> 0 THEN n END), 0.75), {LOW}), {HIGH}) AS {k}"
-            for k in rules
+        sums = ", ".join(
+            f"sum(CASE WHEN {k} = {v} THEN n * p ELSE 0 END) AS g_{k}_{names[v]},"
+            f" sum(CASE WHEN {k} = {v} THEN n * (1 - p) ELSE 0 END) AS b_{k}_{names[v]}"
+            for k, v in cells
+        )
+        logs = ", ".join(
+            f"ln((g_{k}_{names[v]} + 1) / (b_{k}_{names[v]} + 1)) + ln((bad + 3) / (good + 3))"
+            + (" + ln((good + 1) / (bad + 1))" if k == RULES[0] else "")
+            + f" AS {k}_{names[v]}"
+            for k, v in cells
         )
-        logit = ", ".join(f"ln({k} / (1 - {k})) AS w_{k}" for k in (*rules, "share"))
         steps.append(
-            f"r{i} AS (SELECT {logit} FROM (SELECT {acc}, least(greatest(coalesce(sum(n * p) / sum(n), 0.5),"
-            f" {SHARE}), {1 - SHARE}) AS share FROM"
+            f"r{i} AS (SELECT {logs} FROM (SELECT sum(n * p) AS good, sum(n * (1 - p)) AS bad, {sums} FROM"
             f" (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM patterns, r{i - 1})))"
         )
     return f"""
