@@ -30,16 +30,16 @@ def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node of an undirected graph (``a, b``).
 
-    Alternates large-star and small-star (Kiveris et al. 2014); every round is two
-    aggregations, and the table of each round is written out, which keeps lineage short.
+    Alternates large-star and small-star (Kiveris et al. 2014) until nothing changes; every round
+    is two aggregations, and the table of each round is written out, which keeps lineage short.
     """
     links = materialise(edges.where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -55,7 +55,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             return links.select(F.col("u").alias("id"), F.col("v").alias("root"))
         seen = state
-    raise RuntimeError("components did not settle")
 
 
 def _sum_over(n: int, term: Callable[[Column], Column]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import bucket_of, evaluated_once, hmac_sha256, is_hex64
-from sentrel.functions.staging import broadcast_if_small, materialise
+from sentrel.functions.staging import materialise
 from sentrel.operators.telemetry import fresh, is_number, json_type, strict_json
 from sentrel.operators.windows import prefix_max
 
@@ -265,7 +265,7 @@ def check_requests(requests: DataFrame, controllers: DataFrame, key: bytes) -> D
         },
     )
     known = controllers.select("controller").distinct()
-    known = broadcast_if_small(known.withColumn("__k", F.concat(F.lit("="), "controller")))
+    known = known.withColumn("__k", F.concat(F.lit("="), "controller"))
     own = F.concat(F.lit("#"), F.col("request_id").cast("string"))
     keyed = rated.withColumn(
         "__k",

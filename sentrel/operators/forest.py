@@ -51,6 +51,8 @@ def train_forest(
             inputCol="class_prediction", outputCol="prediction", labels=names.labels
         ),
     ]
+    if not rows.where(F.col(label).isNull()).isEmpty():
+        raise ValueError("rows without a label cannot be trained on")
     model = Pipeline(stages=stages).fit(rows.join(weights, label))
     return PipelineModel(model.stages[1:])
 

@@ -138,9 +138,9 @@ def describe_events(rows: DataFrame) -> DataFrame:
 
 def recent(
     rows: DataFrame,
+    limit: int,
     severity: str | None = None,
     span: str | None = None,
-    limit: int = fixed.TIMELINE_LIMIT,
 ) -> DataFrame:
     """Last rows in time after the severity and relative time filters; newest first."""
     out = rows
@@ -180,14 +180,14 @@ def axis_markers(rows: DataFrame, n: int = 5) -> DataFrame:
 
 def timeline_groups(
     rows: DataFrame,
-    limit: int = fixed.TIMELINE_LIMIT,
+    limit: int,
     percent: float = fixed.TIMELINE_GROUP_PERCENT,
 ) -> DataFrame:
     """Walk the last ``limit`` events; join a group while its centre is near, else open one.
 
     The fold depends on order, and its input is at most ``limit`` rows by definition.
     """
-    last = recent(rows, limit=limit).withColumn("ms", F.floor(F.col("ts_us") / 1000))
+    last = recent(rows, limit).withColumn("ms", F.floor(F.col("ts_us") / 1000))
     item = F.struct("ms", "seq", "event_id", "severity", severity_weight("severity").alias("w"))
     packed = last.agg(
         F.sort_array(F.collect_list(item)).alias("xs"),

@@ -122,8 +122,8 @@ def cluster_means(
 def match_patterns(signatures: DataFrame, store: DataFrame) -> DataFrame:
     """First stored pattern of the same cluster size, as ``matched_id``; null if none.
 
-    Clusters are matched in order, and a cluster of a size seen earlier in the same run
-    matches the pattern that run has just made.
+    Only the store is looked at; ``extend_store`` lets several new clusters of one size make one
+    pattern.
     """
     first = store.groupBy("cluster_size").agg(
         F.min_by("pattern_id", "store_order").alias("matched_id")
@@ -131,16 +131,17 @@ def match_patterns(signatures: DataFrame, store: DataFrame) -> DataFrame:
     return signatures.join(first, "cluster_size", "left")
 
 
-def signature_id(signature: Column) -> Column:
-    """Pattern id from the content of its signature."""
+def signature_id(signature: Column, cluster_size: Column) -> Column:
+    """Pattern id from the content of its signature and the size of its cluster (64 bits)."""
     text = F.to_json(F.map_from_entries(F.sort_array(F.map_entries(signature))))
-    return F.concat(F.lit("P-"), F.upper(F.substring(F.sha2(text, 256), 1, 6)))
+    whole = F.concat_ws("|", cluster_size.cast("string"), text)
+    return F.concat(F.lit("P-"), F.upper(F.substring(F.sha2(whole, 256), 1, 16)))
 
 
 def extend_store(
     signatures: DataFrame, store: DataFrame, detected_at: Column | None = None
 ) -> DataFrame:
-    """Store plus the new patterns.
+    """Store, with all its columns, plus the new patterns.
 
     Of several new clusters of one size only the first makes a pattern, because the later ones
     match it.
@@ -155,7 +156,7 @@ def extend_store(
     )
     last = store.agg(F.coalesce(F.max("store_order"), F.lit(-1))).scalar()
     new = fresh.select(
-        signature_id(F.col("s")).alias("pattern_id"),
+        signature_id(F.col("s"), F.col("cluster_size")).alias("pattern_id"),
         "cluster_size",
         F.lit("NEW").alias("status"),
         when.alias("first_detected"),
@@ -163,7 +164,7 @@ def extend_store(
         F.col("s").alias("behavioral_signature"),
         (last + 1 + F.col("c.cluster")).cast("bigint").alias("store_order"),
     )
-    return store.select(*new.columns).union(new)
+    return store.unionByName(new, allowMissingColumns=True)
 
 
 def pattern_events(store: DataFrame, at: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sentrel.functions import fixed
 from sentrel.functions.scalars import finite_or, lookup
 from sentrel.functions.staging import materialise
-from sentrel.operators.windows import numbered, quantiles
+from sentrel.operators.windows import join_on_keys, numbered, quantiles
 
 
 def normalise_labels(
@@ -157,19 +157,19 @@ def describe_by_label(df: DataFrame, features: Sequence[str], label: str = "labe
         .agg(F.max("q"))
         .toDF("label", "feature", "q25", "q50", "q75")
     )
-    return basic.join(quarts, ["label", "feature"], "left")
+    return join_on_keys(basic, quarts, ["label", "feature"], "left")
 
 
-def head_rows(df: DataFrame, row_id: str, n: int = fixed.HEAD_ROWS) -> DataFrame:
-    """The first rows in ingest order."""
+def head_rows(df: DataFrame, row_id: str, n: int) -> DataFrame:
+    """The first ``n`` rows in ingest order."""
     return df.orderBy(row_id).limit(n)
 
 
 def benign_sample(
     df: DataFrame,
     row_id: str,
+    n: int,
     label: str = "Label",
-    n: int = fixed.BENIGN_SAMPLE,
     seed: int = fixed.SEED,
 ) -> DataFrame:
     """At most ``n`` benign rows, chosen by a hash of the row id: same rows on every run."""

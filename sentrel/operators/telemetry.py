@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
 from sentrel.functions.scalars import evaluated_once, hmac_sha256, is_hex64
-from sentrel.functions.staging import broadcast_if_small, materialise
+from sentrel.functions.staging import materialise
 from sentrel.operators.windows import prefix_max
 
 # Reasons that say a message got as far as the freshness check; only then is its body stored.
@@ -40,9 +40,14 @@ def fresh(received_at: Column | str, stamp: Column) -> Column:
     return (now - stamp).between(-fixed.MAX_AHEAD_SECONDS, fixed.MAX_AGE_SECONDS)
 
 
+def _size() -> Column:
+    """Bytes of the body; a missing body has none, and is decided like an empty one."""
+    return F.coalesce(F.octet_length("raw"), F.lit(0))
+
+
 def oversized(messages: DataFrame, limit: int = fixed.MAX_BODY_BYTES) -> DataFrame:
     """Messages refused for their size; they get no decision row."""
-    return messages.where(F.octet_length("raw") > limit).select(
+    return messages.where(_size() > limit).select(
         "message_id", "received_at", F.lit("PAYLOAD_TOO_LARGE").alias("reason")
     )
 
@@ -56,7 +61,7 @@ def check_messages(
     ``device_id``. Stateless, so it runs on streams too.
     """
     doc = "__doc"
-    sane = messages.where(F.octet_length("raw") <= limit)
+    sane = messages.where(_size() <= limit)
     parsed = sane.withColumn(doc, strict_json("raw"))
     kinds = {
         name: json_type(F.col(doc), path)
@@ -116,7 +121,7 @@ def check_messages(
         },
     )
     known = devices.select(F.concat(F.lit("="), "device_id").alias("__k")).distinct()
-    known = broadcast_if_small(known.withColumn("__known", F.lit(True)))
+    known = known.withColumn("__known", F.lit(True))
     # Messages that fail early need no device; a key of their own spreads them in a shuffle.
     own = F.concat(F.lit("#"), F.col("message_id").cast("string"))
     keyed = rated.withColumn(

@@ -201,6 +201,14 @@ def window_members(
     )
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null is a key like any other; the keys of ``left`` stay."""
+    named = {k: f"__key{i}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(f"`{c}`").alias(named.get(c, c)) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [left[k].eqNullSafe(other[n]) for k, n in named.items()])
+    return left.join(other, same, how).drop(*named.values())
+
+
 def prefix_max(
     rows: DataFrame,
     keys: Sequence[str],
@@ -230,7 +238,7 @@ def prefix_max(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        tagged.join(heads, [*keys, "__b"])
+        join_on_keys(tagged, heads, [*keys, "__b"])
         .withColumn(out, F.greatest("__head", F.max("__v").over(inside)))
         .drop("__b", "__v", "__head")
     )
@@ -259,7 +267,7 @@ def numbered(
     )
     inside = Window.partitionBy(*keys, "__b").orderBy(*order)
     return (
-        tagged.join(heads, [*keys, "__b"])
+        join_on_keys(tagged, heads, [*keys, "__b"])
         .withColumn(out, F.col("__head") + F.row_number().over(inside))
         .drop("__b", "__head")
     )
@@ -284,7 +292,7 @@ def quantiles(
             F.percentile_approx("v", [i / cuts for i in range(1, cuts)], 10 * cuts).alias("e")
         )
     )
-    bucketed = counts.join(edges, keys).withColumn(
+    bucketed = join_on_keys(counts, edges, keys).withColumn(
         "b", F.size(F.filter(F.array_distinct("e"), lambda x: x <= F.col("v")))
     ).drop("e")
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -300,7 +308,7 @@ def quantiles(
     )
     inside = Window.partitionBy(*keys, "b").orderBy("v")
     ranked = (
-        bucketed.join(heads, [*keys, "b"])
+        join_on_keys(bucketed, heads, [*keys, "b"])
         .withColumn("last", F.col("head") + F.sum("n").over(inside) - 1)
         .withColumn("first", F.col("last") - F.col("n") + 1)
     )

@@ -36,15 +36,13 @@ def flows_to_patterns(
     anomalies: isolation.IsolationModel,
     store: DataFrame,
     features: Sequence[str] = fixed.FLOW_FEATURES,
-    rows: int | None = fixed.HEAD_ROWS,
     detected_at: Column | None = None,
 ) -> DataFrame:
-    """Pattern store after looking for unknown behaviour in the first ``rows`` flows.
+    """Pattern store after looking for unknown behaviour in all the flows given.
 
-    ``rows=None`` looks at all of them.
+    A caller who wants a scan of the first rows only passes ``quality.head_rows`` of them.
     """
-    flows_in = labelled if rows is None else labelled.orderBy(row_id).limit(rows)
-    scored = isolation.flag_anomalies(forest.classify(flows_in, model, features), anomalies)
+    scored = isolation.flag_anomalies(forest.classify(labelled, model, features), anomalies)
     candidates = materialise(patterns.unknown_candidates(scored))
     labels = patterns.cluster_candidates(candidates, row_id, features)
     found = patterns.cluster_signatures(candidates, labels, row_id)

@@ -145,7 +145,7 @@ def describe_by_label(spark, sf_dir):
 
 @query("head_rows", f"WITH {RAW} SELECT * FROM cl ORDER BY row_id LIMIT 100")
 def head_rows(spark, sf_dir):
-    return q.head_rows(_clean(spark, sf_dir), "row_id")
+    return q.head_rows(_clean(spark, sf_dir), "row_id", fixed.HEAD_ROWS)
 
 
 # The sample takes every benign row while there are no more than 1948 of them.

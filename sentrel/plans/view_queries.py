@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sentrel.functions import fixed
 from sentrel.operators import graph, marts
 from sentrel.operators import incidents as inc
 from sentrel.plans.adapters import EVENT_WINDOW_SECONDS as SPAN
@@ -233,7 +234,9 @@ def timeline_display(spark, sf_dir):
     ORDER BY ts_us DESC, seq DESC LIMIT 200""",
 )
 def timeline_recent(spark, sf_dir):
-    rows = marts.recent(_timeline(spark, sf_dir), severity="medium", span="7D")
+    rows = marts.recent(
+        _timeline(spark, sf_dir), fixed.TIMELINE_LIMIT, severity="medium", span="7D"
+    )
     return marts.describe_events(rows).select(
         "ts_us", "event_id", "type", "severity", "description", "score", "label"
     )
@@ -294,7 +297,7 @@ def timeline_axis(spark, sf_dir):
       round(arg_max(pct, rn), 6) AS pct, arg_max(sev, rn) AS max_severity FROM f GROUP BY g""",
 )
 def timeline_clusters(spark, sf_dir):
-    groups = marts.timeline_groups(_timeline(spark, sf_dir))
+    groups = marts.timeline_groups(_timeline(spark, sf_dir), fixed.TIMELINE_LIMIT)
     return groups.withColumn("pct", F.round("pct", 6))
 
 

@@ -173,7 +173,14 @@ def test_pattern_store(spark):
     grown = patterns.extend_store(sig, store)
     new = grown.where("status = 'NEW'").orderBy("store_order").collect()
     assert [(r["cluster_size"], r["behavioral_signature"]) for r in new] == [(5, {"x": 1.0}), (7, {"x": 2.0})]
-    assert all(r["pattern_id"].startswith("P-") and len(r["pattern_id"]) == 8 for r in new)
+    assert all(r["pattern_id"].startswith("P-") and len(r["pattern_id"]) == 18 for r in new)
+    # Stored columns stay, and an event of a stored pattern uses its count.
+    counted = store.withColumn("observations", F.lit(99).cast("bigint")).withColumn("status", F.lit("NEW"))
+    kept = patterns.extend_store(sig, counted)
+    assert {e["evidence"]["observation_count"] for e in patterns.pattern_events(kept).collect()} == {99, 5, 7}
+    same = F.create_map(F.lit("x"), F.lit(1.0))
+    ids = spark.range(1).select(*[patterns.signature_id(same, F.lit(n)) for n in (4, 5)]).first()
+    assert ids[0] != ids[1]
     again = patterns.extend_store(sig, grown)
     assert again.count() == grown.count()
     events = patterns.pattern_events(grown).collect()

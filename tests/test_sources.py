@@ -144,7 +144,7 @@ def test_timeline_groups(spark, n):
         [(t * 1000, k, f"E{i}", s) for k, (t, i, s) in enumerate(rows)],
         "ts_us bigint, seq bigint, event_id string, severity string",
     )
-    got = marts.timeline_groups(df).orderBy("position").collect()
+    got = marts.timeline_groups(df, 200).orderBy("position").collect()
     want = plain_groups([(t, f"E{i}", s) for t, i, s in rows][-200:])
     assert [(r["id"], r["n"], r["max_severity"], r["pct"]) for r in got] == want
 
