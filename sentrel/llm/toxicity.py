@@ -30,6 +30,8 @@ SHARP = 4.0
 LEAST_SIGNAL = 4.5
 #: Words whose margins a worker remembers; a full memory is emptied.
 CACHE_WORDS = 600_000
+#: Words whose n-grams are hashed at once.
+PART_WORDS = 20_000
 #: Start and factor of the n-gram hash (FNV-1a, 64 bits).
 _START, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
@@ -37,7 +39,10 @@ _START, _PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, word number) of all n-grams of ``<word>`` and of the words themselves, by word."""
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    if len(words) > PART_WORDS:
+        parts = [(at, features(words[at : at + PART_WORDS])) for at in range(0, len(words), PART_WORDS)]
+        return np.concatenate([b for _, (b, _) in parts]), np.concatenate([w + np.int32(at) for at, (_, w) in parts])
     joined = "".join([f"<{w}>" for w in words])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in words], np.int64)
@@ -63,7 +68,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(np.arange(len(words)))
     owners_all = np.concatenate(owners)
     order = np.argsort(owners_all, kind="stable")
-    return np.concatenate(buckets).astype(np.int64)[order], owners_all[order]
+    return np.concatenate(buckets).astype(np.int32)[order], owners_all[order].astype(np.int32)
 
 
 def split(text: str) -> list[str]:
@@ -100,13 +105,13 @@ def train(texts: list[str], labels: list[int], odds: float, seed: int = SEED) ->
     sizes = np.diff(np.append(starts, len(ids)))
     first = np.searchsorted(owner, np.arange(len(y)))
     bucket, word = features(list(vocabulary))
-    share = (1.0 / np.bincount(word))[word]
+    share = 1.0 / np.bincount(word)
     # In how many texts of either label a bucket occurs, and how far from chance that is.
     texts = np.repeat(np.arange(len(y)), counts)
     cell = np.unique(texts * len(vocabulary) + ids)
     of_text, of_word = cell // len(vocabulary), cell % len(vocabulary)
     begin = np.searchsorted(word, np.arange(len(vocabulary) + 1))
-    seen = np.zeros((2, BUCKETS))
+    seen = np.zeros((2, BUCKETS), np.float32)
     for label in (0, 1):
         for text in np.flatnonzero(y == label):
             mine = of_word[np.searchsorted(of_text, text) : np.searchsorted(of_text, text + 1)]
@@ -116,7 +121,7 @@ def train(texts: list[str], labels: list[int], odds: float, seed: int = SEED) ->
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / total).sum())
     signal = np.abs(seen[1] / total[1] - seen[0] / total[0]) / spread
     often = signal[bucket] >= LEAST_SIGNAL
-    word, share = word[often], share[often]
+    word, share = word[often], share[word[often]]
     used, bucket = np.unique(bucket[often], return_inverse=True)
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
@@ -186,8 +191,8 @@ def _margin(model: dict, texts: list[str], known: dict[str, float]) -> np.ndarra
         if len(known) + len(new) > CACHE_WORDS:
             known.clear()
             new = list(set(flat))
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), PART_WORDS):
+            part = new[at : at + PART_WORDS]
             bucket, word = features(part)
             sums = np.bincount(word, model["margin"][bucket], len(part)) / np.bincount(word, minlength=len(part))
             known.update(zip(part, sums.tolist(), strict=True))
