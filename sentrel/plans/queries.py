@@ -5,6 +5,7 @@ from sentrel.plans import (  # noqa: F401
     flow_queries,
     incident_queries,
     model_queries,
+    pattern_queries,
     quality_queries,
     view_queries,
 )
