@@ -28,6 +28,8 @@ INCIDENT_COLUMNS = [
     "pattern_id",
     "observations",
     "status",
+    "detection_method",
+    "evidence",
     "first_us",
     "last_us",
     "rule",
@@ -283,8 +285,20 @@ def members_of_history(events: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _evidence(events: DataFrame) -> tuple[Column, Column]:
+    """Evidence of an event as JSON text, and the detection method it names; null without them."""
+    fields = {f.name: f.dataType for f in events.schema.fields}
+    kept = fields.get("evidence")
+    named = "detection_method" in getattr(kept, "names", [])
+    method = F.col("evidence.detection_method") if named else F.lit(None).cast("string")
+    if kept is None:
+        return F.lit(None).cast("string"), method
+    return (F.to_json("evidence") if hasattr(kept, "names") else F.col("evidence").cast("string")), method
+
+
 def unknown_incidents(events: DataFrame) -> DataFrame:
     """Each unknown-behaviour event is an incident of its pattern."""
+    evidence, method = _evidence(events)
     return events.where(F.col("type") == "UNKNOWN_BEHAVIOR").select(
         F.concat(F.lit("INC-UNKNOWN-"), F.coalesce("pattern_id", F.lit("UNKNOWN"))).alias(
             "incident_id"
@@ -296,6 +310,8 @@ def unknown_incidents(events: DataFrame) -> DataFrame:
         F.coalesce("pattern_id", F.lit("UNKNOWN")).alias("pattern_id"),
         F.coalesce("observations", F.lit(0)).cast("bigint").alias("observations"),
         F.coalesce("pattern_status", F.lit("NEW")).alias("status"),
+        method.alias("detection_method"),
+        evidence.alias("evidence"),
         F.col("ts_us").alias("first_us"),
         F.col("ts_us").alias("last_us"),
         F.col("seq").alias("emit_seq"),

@@ -146,7 +146,10 @@ def _short(name):
     + " FROM g",
 )
 def flow_features(spark, sf_dir):
-    found = flows.flow_features(packets(spark, sf_dir), FLOW_WINDOW_SECONDS)
+    return short_features(flows.flow_features(packets(spark, sf_dir), FLOW_WINDOW_SECONDS))
+
+
+def short_features(found):
     return found.select(
         "window_us", "src", "dst", "src_port", "dst_port", "protocol", "packet_count",
         *[F.round(f"`{n}`", 3).alias(_short(n)) for n in FLOW_FEATURES],

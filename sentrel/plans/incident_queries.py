@@ -112,7 +112,7 @@ def multistage_history(spark, sf_dir):
 @query("unknown_incidents", f"WITH {SEC}, {UNKNOWN} SELECT * FROM ui")
 def unknown_incidents(spark, sf_dir):
     found = inc.unknown_incidents(sec_events(spark, sf_dir))
-    return found.withColumnRenamed("emit_seq", "seq").drop("event_id")
+    return found.withColumnRenamed("emit_seq", "seq").drop("event_id", "detection_method", "evidence")
 
 
 @query("incident_dedup", f"WITH {INCIDENTS} SELECT * FROM inc")

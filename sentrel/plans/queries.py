@@ -2,6 +2,7 @@
 
 from sentrel.plans import (  # noqa: F401
     control_queries,
+    file_queries,
     flow_queries,
     incident_queries,
     model_queries,
