@@ -8,8 +8,9 @@ banded; texts that share a band are compared exactly, and links join texts into
 * Document frequencies are counted over all rows, in a fixed number of hashed counters, so the
   table that tasks need has the same size at any scale.
 * In a bucket every text is compared with the bucket's smallest key. Only texts that this leaves
-  outside are compared with the others, and only where distances to that key, a metric, allow a
-  link. What texts share but do not consist of (a passage, a footer) fills no buckets.
+  outside are compared with the others, in blocks and without writing pairs, and only where
+  distances to that key, a metric, allow a link. What texts share but do not consist of (a passage,
+  a footer) fills no buckets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ BANDS, ROWS = 10, 3
 COUNTERS, BLOCK = 1 << 18, 1 << 14
 #: Entries of the tables that the random numbers of the sampling are drawn from.
 DRAWS, SEED = 1 << 16, 42
+#: Texts of a bucket that are compared with as many others in one go.
+BLOCK_TEXTS = 1024
 #: Bits of the filter that tells which texts a comparison needs.
 FILTER_BITS = 1 << 23
 _SPACE = np.zeros(256, bool)
@@ -240,8 +243,11 @@ def signatures(docs: DataFrame, idf: np.ndarray, key: str = "doc_id", text: str
     return rows.mapInArrow(run, f"id {kind}, key binary, bands array<bigint>")
 
 
-def _features(docs: DataFrame, text: str, idf: np.ndarray, needed: DataFrame) -> DataFrame:
-    """(key, shingles, weights) of the texts with the needed keys, one row a key.
+def _features(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
+    """(key, shingles, counts) of the texts with the needed keys, one row a key.
+
+    Shingles are the upper halves of their hashes, which still name their counters; counts are
+    empty if all are 1.
 
     Texts are read again and not shuffled: a filter of fixed size lets through what is needed and
     a little more, whatever is too much falls out in the join that follows.
@@ -253,10 +259,10 @@ def _features(docs: DataFrame, text: str, idf: np.ndarray, needed: DataFrame) ->
     filled = words.toArrow()
     bits[filled.column("w").to_numpy()] = filled.column("b").to_numpy()
     sc = docs.sparkSession.sparkContext
-    shared, wanted = sc.broadcast(idf), sc.broadcast(bits.view(np.uint64))
+    wanted = sc.broadcast(bits.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, mask, sent = shared.value, wanted.value, set()
+        mask, sent = wanted.value, set()
         for batch in slices(batches, "text", 1 << 20):
             texts = []
             for t in batch.column("text").to_pylist():
@@ -268,20 +274,26 @@ def _features(docs: DataFrame, text: str, idf: np.ndarray, needed: DataFrame) ->
                     texts.append((key, said))
             if texts:
                 hashes, counts, bounds = shingles([t for _, t in texts])
-                weights = (counts * weight[_counter(hashes)]).astype(np.float32)
+                times = [c if (c := counts[a:b]).max(initial=1) > 1 else c[:0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k for k, _ in texts], pa.binary()),
                         pa.array([short[a:b].tobytes() for a, b in spans], pa.binary()),
-                        pa.array([weights[a:b].tobytes() for a, b in spans], pa.binary()),
+                        pa.array([c.astype(np.uint32).tobytes() for c in times], pa.binary()),
                     ],
-                    ["key", "s", "w"],
+                    ["key", "s", "n"],
                 )
 
-    made = docs.select(whole(text).alias("text")).mapInArrow(run, "key binary, s binary, w binary")
-    return made.groupBy("key").agg(F.first("s").alias("s"), F.first("w").alias("w"))
+    made = docs.select(whole(text).alias("text")).mapInArrow(run, "key binary, s binary, n binary")
+    return made.groupBy("key").agg(F.first("s").alias("s"), F.first("n").alias("n"))
+
+
+def _weighted(idf: np.ndarray, shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(shingles, np.uint32)
+    w = idf[s >> np.uint32(32 - 18)]
+    return s, w * np.frombuffer(counts, np.uint32) if counts else w
 
 
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -296,26 +308,90 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 def verified(docs: DataFrame, text: str, idf: np.ndarray, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys with their similarity."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = shared.value
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("s", "w", "s2", "w2")]
-            for s, w, s2, w2 in zip(*columns, strict=True):
-                out.append(
-                    similarity(
-                        np.frombuffer(s, np.uint32), np.frombuffer(w, np.float32),
-                        np.frombuffer(s2, np.uint32), np.frombuffer(w2, np.float32),
-                    )
-                )
+            # Values are taken one by one: a list of them all would hold the batch twice.
+            for s, n, s2, n2 in zip(*[batch.column(c) for c in ("s", "n", "s2", "n2")], strict=True):
+                one = _weighted(weight, s.as_py(), n.as_py())
+                out.append(similarity(*one, *_weighted(weight, s2.as_py(), n2.as_py())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"]
             )
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    rows = materialise(_features(docs, text, idf, needed))
+    rows = materialise(_features(docs, text, needed))
     left = pairs.join(rows.withColumnRenamed("key", "a"), "a")
-    both = left.join(rows.select(F.col("key").alias("b"), F.col("s").alias("s2"), F.col("w").alias("w2")), "b")
-    return both.select("a", "b", "s", "w", "s2", "w2").mapInArrow(run, "a binary, b binary, similarity double")
+    both = left.join(rows.select(F.col("key").alias("b"), F.col("s").alias("s2"), F.col("n").alias("n2")), "b")
+    return both.select("a", "b", "s", "n", "s2", "n2").mapInArrow(run, "a binary, b binary, similarity double")
+
+
+def outside_links(
+    docs: DataFrame, text: str, idf: np.ndarray, placed: DataFrame, signed: DataFrame
+) -> DataFrame | None:
+    """Links (a, b) between texts of one bucket and different classes; None if all buckets are of
+    one class.
+
+    ``placed`` are the texts of buckets (``band, value, key, d, root, leader_root``; ``d`` is the
+    distance to the bucket's leader), ``signed`` their bands. A bucket is cut into blocks; a block
+    of texts that are not in the leader's class meets a block of all texts in one task, so tasks
+    hold at most two blocks, and only links are written. A pair that shares an earlier band is
+    left to that bucket, where it is compared just so.
+    """
+    outside = F.col("root") != F.col("leader_root")
+    counts = placed.groupBy("band", "value").agg(F.count("*").alias("m"), F.count_if(outside).alias("r"))
+    open_rows = materialise(placed.join(counts.where("r > 0"), ["band", "value"]).withColumn("out", outside).drop("leader_root"))
+    if open_rows.isEmpty():
+        return None
+    needed = open_rows.select("key").distinct()
+    known = materialise(_features(docs, text, needed).join(signed, "key"))
+    rows = open_rows.join(known, "key")
+    parts = {c: F.ceil(F.col(c) / BLOCK_TEXTS).cast("int") for c in ("r", "m")}
+    own = {c: F.pmod(F.xxhash64("key"), n).cast("int") for c, n in parts.items()}
+    every = {c: F.explode(F.sequence(F.lit(0), n - 1)) for c, n in parts.items()}
+    left = rows.where("out").withColumns({"i": own["r"], "x": F.lit(True)}).withColumn("j", every["m"])
+    right = rows.withColumns({"j": own["m"], "x": F.lit(False)}).withColumn("i", every["r"])
+    both = left.unionByName(right).drop("r", "m")
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        band = int(group["band"].iloc[0])
+        mine, theirs = group[group["x"]], group[~group["x"]]
+        found = []
+        if len(mine) and len(theirs):
+            weight = shared.value
+            sets = [_weighted(weight, s, n) for s, n in zip(theirs["s"], theirs["n"], strict=True)]
+            totals = np.array([w.sum(dtype=np.float64) for _, w in sets])
+            keys, roots = theirs["key"].to_numpy(), theirs["root"].to_numpy()
+            d, out = theirs["d"].to_numpy(), theirs["out"].to_numpy()
+            bands = np.array(theirs["bands"].tolist(), np.int64)[:, :band]
+            for x in mine.itertuples():
+                may = (np.abs(d - x.d) <= 1 - THRESHOLD + 1e-6) & (roots != x.root) & ~(out & (keys <= x.key))
+                may &= ~(bands == np.array(x.bands[:band], np.int64)).any(1)
+                at = np.flatnonzero(may)
+                if not len(at):
+                    continue
+                s, w = _weighted(weight, x.s, x.n)
+                total = w.sum(dtype=np.float64)
+                most = np.minimum(totals[at], total) / np.maximum(totals[at], total)
+                at = at[most >= THRESHOLD - 1e-6]
+                if not len(at):
+                    continue
+                others = np.concatenate([sets[k][0] for k in at])
+                place = np.minimum(np.searchsorted(s, others), len(s) - 1)
+                least = np.minimum(w[place], np.concatenate([sets[k][1] for k in at]))
+                least = np.where(s[place] == others, least, 0).astype(np.float64)
+                sizes = np.array([len(sets[k][0]) for k in at])
+                common = np.add.reduceat(least, np.cumsum(sizes) - sizes)
+                close = common >= THRESHOLD * (totals[at] + total - common)
+                found += [(x.key, keys[k]) for k in at[close]]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    links = both.groupBy("band", "value", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return materialise(links.distinct())
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -346,26 +422,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
             F.coalesce("leader_root", "leader").alias("leader_root"),
         )
     )
-    placed = materialise(placed)
-    outside = placed.where("root <> leader_root").select(
-        "band", "value", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("d").alias("d_a")
-    )
-    both_out = F.col("root") != F.col("leader_root")
-    rest = materialise(
-        outside.join(placed, ["band", "value"])
-        .where(
-            (F.col("root_a") != F.col("root"))
-            & (~both_out | (F.col("a") < F.col("key")))
-            & (F.abs(F.col("d_a") - F.col("d")) <= 1 - THRESHOLD + 1e-6)
-        )
-        .select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-        .distinct()
-    )
-    if not rest.isEmpty():
-        more = verified(docs, text, idf, rest).where(F.col("similarity") >= THRESHOLD).select("a", "b")
-        more = materialise(more)
-        if not more.isEmpty():
-            roots = components(links.union(more))
+    more = outside_links(docs, text, idf, materialise(placed), one)
+    if more is not None:
+        roots = components(links.union(more))
     return signed.select("id", "key"), roots.select(F.col("id").alias("key"), "root")
 
 
