@@ -50,6 +50,9 @@ BOILER_WORDS = frozenset(
     " copyright disclaimer legal contentinfo complementary".split()
 )
 MAIN_WORDS = frozenset("article articlebody main content post story entry body text".split())
+#: Elements that may hold a whole article, and those that are menus if most of their text is links.
+CONTAINERS = frozenset("html body div section table tbody tr td".split())
+LISTS = frozenset("ul ol dl div table section".split())
 #: Elements that end an open element of these kinds when they begin.
 CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
@@ -150,7 +153,8 @@ def parse(html: str) -> Node:
                     break
         if tag in VOID:
             continue
-        node = Node(".".join([tag, *sorted({w for m in _MARK.finditer(marks) for w in _WORDS.findall((m[2] or m[3] or m[4] or "").lower())})]))
+        said = " ".join(m[2] or m[3] or m[4] or "" for m in _MARK.finditer(marks)).lower()
+        node = Node(".".join([tag, *sorted(set(_WORDS.findall(said)))]))
         stack[-1].kids.append(node)
         stack.append(node)
         if marks.endswith("/"):
@@ -276,7 +280,7 @@ def main_places(wrapper: Node) -> set[tuple[str, ...]]:
         node, path = wrapper, ()
         while True:
             total = _gain(node)
-            inner = [k for k in node.kids if k.key != "#" and k.tag in ("html", "body", "div", "section", "table", "tbody", "tr", "td") and 10 * _gain(k) >= 8 * total > 0]
+            inner = [k for k in node.kids if k.tag in CONTAINERS and 10 * _gain(k) >= 8 * total > 0]
             if not inner:
                 break
             node = inner[0]
@@ -289,7 +293,7 @@ def main_places(wrapper: Node) -> set[tuple[str, ...]]:
             here = (*path, kid.key)
             if kid.key == "#":
                 places.add(here)
-            elif not _boiler(kid) and not (kid.linked * 2 > kid.chars and kid.tag in ("ul", "ol", "div", "table", "dl", "section")):
+            elif not _boiler(kid) and not (kid.linked * 2 > kid.chars and kid.tag in LISTS):
                 collect(kid, here)
 
     for node, path in best:

@@ -274,9 +274,9 @@ def _features(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
                     texts.append((key, said))
             if texts:
                 hashes, counts, bounds = shingles([t for _, t in texts])
-                times = [c if (c := counts[a:b]).max(initial=1) > 1 else c[:0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
                 spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+                times = [c if (c := counts[a:b]).max(initial=1) > 1 else c[:0] for a, b in spans]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([k for k, _ in texts], pa.binary()),
@@ -343,7 +343,8 @@ def outside_links(
     """
     outside = F.col("root") != F.col("leader_root")
     counts = placed.groupBy("band", "value").agg(F.count("*").alias("m"), F.count_if(outside).alias("r"))
-    open_rows = materialise(placed.join(counts.where("r > 0"), ["band", "value"]).withColumn("out", outside).drop("leader_root"))
+    open_rows = placed.join(counts.where("r > 0"), ["band", "value"]).withColumn("out", outside)
+    open_rows = materialise(open_rows.drop("leader_root"))
     if open_rows.isEmpty():
         return None
     needed = open_rows.select("key").distinct()
@@ -454,7 +455,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rank = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
     best = ids.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min_by(F.struct("id", "key", "n"), rank).alias("x"))
     keep = materialise(best.select(F.col("x.id").alias("__id"), F.col("x.key").alias("__k"), F.col("x.n").alias("n")))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{key}`").alias("__i"), text_key(whole(text)).alias("__key"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    marked = docs.select(row, F.col(f"`{key}`").alias("__i"), text_key(whole(text)).alias("__key"))
     kept = marked.join(keep, F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left_semi")
     if not keep.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["__i", "__key"])

@@ -125,9 +125,10 @@ def plan(sized: DataFrame) -> DataFrame:
         )
     )
     goals = targets(hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
+    times = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
     goals = materialise(
         goals.withColumn("budget", F.round("target").cast("long"))
-        .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0).cast("long"))
+        .withColumn("passes", times.cast("long"))
         .withColumn("rest", F.col("budget") - F.col("passes") * F.col("source_size"))
     )
     g = goals.select(F.col("source").alias("s"), "passes", "rest")

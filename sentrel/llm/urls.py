@@ -155,7 +155,8 @@ def sql(rounds: int = ROUNDS) -> str:
     def fits(value) -> str:
         out = ""
         for host, path, verdict in sorted(RULES, key=lambda r: -len(r[0] + r[1])):
-            out += f" WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN '{value(host, path, verdict)}'"
+            at_host = f"(host = '{host}' OR ends_with(host, '.{host}'))"
+            out += f" WHEN {at_host} AND starts_with(path, '{path}') THEN '{value(host, path, verdict)}'"
         return f"CASE{out} END"
 
     def flow(name: str, edges: str, seeds: str) -> str:
