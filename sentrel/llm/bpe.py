@@ -28,7 +28,7 @@ _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: A space beside white space.
 _ODD = re.compile(f"[{_WS}] | [{_WS}]")
 #: Entries of a worker's cache of chunks; a full cache is emptied.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 300_000
 #: Longer chunks are not cached.
 CACHE_CHARS = 64
 
@@ -224,7 +224,7 @@ def encode(docs: DataFrame, rank_file: str, text: str = "text", out: str = "toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(rank_file)
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 1 << 21):
             ids = pa.array([bpe.encode(t) for t in batch.column("__text").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(kept))] + [ids], [*kept, out])
 
@@ -295,7 +295,7 @@ def encode_checked(docs: DataFrame, rank_file: str, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(rank_file)
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 1 << 21):
             ids, ok = [], []
             for value in batch.column("__text"):
                 said = value.as_py()

@@ -29,7 +29,7 @@ SHARP = 4.0
 #: A bucket learns only if its share among texts of the two labels differs by so many deviations.
 LEAST_SIGNAL = 4.5
 #: Words whose margins a worker remembers; a full memory is emptied.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Words whose n-grams are hashed at once.
 PART_WORDS = 20_000
 #: Start and factor of the n-gram hash (FNV-1a, 64 bits).
