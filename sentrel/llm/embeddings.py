@@ -3,6 +3,11 @@
 Every tree splits the vectors again and again at the median of their projections on a random
 direction; vectors near the median go to both sides. Vectors that meet in a leaf of any tree are
 compared exactly, links of cosine 0.9 or more stay, and links join vectors into components.
+
+Large groups of near copies would be cut by every split, so they never enter the trees: a vector
+that is linked with a centre (a sampled vector with many links) is compared with all vectors within
+twice the linking angle of that centre, which are all it can link with, in blocks spread over
+tasks. Of these comparisons only counts are written, and links to centres.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ THRESHOLD, TREES, SEED = 0.9, 8, 42
 LEAF, SPILL = 1024, 0.06
 #: Vectors that the upper splits are fitted on, and the fewest of them in a leaf.
 SAMPLE, LEAST = 1 << 14, 24
+#: A sampled vector may be a centre if it stands for so many links, and has so many in the sample.
+CROWD, LEAST_CROWD = LEAF // 4, 8
 
 
 def grow(x: np.ndarray, stop: int, rng: np.random.Generator) -> dict:
@@ -86,7 +93,7 @@ def near(x: np.ndarray, threshold: float = THRESHOLD, block: int = 1024) -> tupl
 
 def pairs_within(ids: np.ndarray, x: np.ndarray, seed: int) -> np.ndarray:
     """Linked pairs of ids in one leaf of the upper splits, which is split on while it is large."""
-    tree = grow(x, LEAF, np.random.default_rng(seed))
+    tree = grow(x, 4 * LEAF, np.random.default_rng(seed))
     found = []
     for _, rows in leaves(tree, x):
         i, j = near(x[rows])
@@ -102,6 +109,121 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def centres(x: np.ndarray, least: int, block: int = 512) -> np.ndarray:
+    """Rows of ``x`` that are linked with ``least`` others at least, thinned until no two of them
+    are linked; every such row is linked with one that stays."""
+    n_links = np.concatenate([(x[a : a + block] @ x.T >= THRESHOLD).sum(1) for a in range(0, len(x), block)]) - 1
+    waiting, chosen = np.flatnonzero(n_links >= least), []
+    while len(waiting):
+        best = waiting[np.argmax(n_links[waiting])]
+        chosen.append(best)
+        waiting = waiting[(waiting != best) & (x[waiting] @ x[best] < THRESHOLD)]
+    return np.array(chosen, int)
+
+
+def _drawn(nodes: DataFrame, d: int, seed: int) -> pa.Table:
+    drawn = nodes.where(F.size("embedding") == d).orderBy(F.xxhash64(F.lit(seed), "node")).limit(SAMPLE)
+    return drawn.select("node", "embedding").toArrow()
+
+
+def _sizes(nodes: DataFrame) -> list[tuple[int, int]]:
+    return sorted((r["d"], r["count"]) for r in nodes.groupBy(F.size("embedding").alias("d")).count().collect())
+
+
+def crowds(nodes: DataFrame, seed: int = SEED) -> DataFrame:
+    """Where ``node, embedding, n`` rows meet large groups: ``dim, crowd, centre, node, n, unit, home,
+    housed``.
+
+    ``home`` rows are linked with the centre and have one crowd each, the nearest; the others of a
+    crowd are all that one of its home rows can be linked with, and ``housed`` if they have a home
+    elsewhere. Crowds come from a bounded sample.
+    """
+    known = {}
+    for d, total in _sizes(nodes):
+        drawn = _drawn(nodes, d, seed)
+        x = _unit(drawn.column("embedding").to_pylist())
+        at = centres(x, max(LEAST_CROWD, CROWD * len(x) // total))
+        if len(at):
+            known[d] = (drawn.column("node").to_numpy()[at], x[at])
+    shared = nodes.sparkSession.sparkContext.broadcast(known)
+    # A vector within the linking angle of one that is within that angle of the centre.
+    reach = np.cos(2 * np.arccos(THRESHOLD)) - 1e-9
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "embedding", 1 << 21):
+            ids, weights = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            rows = batch.column("embedding").to_pylist()
+            sizes = np.array([len(r) for r in rows])
+            for d in np.unique(sizes):
+                if int(d) not in shared.value:
+                    continue
+                names, middle = shared.value[int(d)]
+                mine = np.flatnonzero(sizes == d)
+                x = _unit([rows[i] for i in mine])
+                cosine = x @ middle.T
+                nearest = cosine.argmax(1)
+                housed = cosine.max(1) >= THRESHOLD
+                i, j = np.nonzero(cosine >= reach)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(i), d, np.int32)),
+                        pa.array(j.astype(np.int32)),
+                        pa.array(names[j]),
+                        pa.array(ids[mine[i]]),
+                        pa.array(weights[mine[i]]),
+                        pa.array([x[k].tobytes() for k in i], pa.binary()),
+                        pa.array((nearest[i] == j) & housed[i]),
+                        pa.array(housed[i]),
+                    ],
+                    ["dim", "crowd", "centre", "node", "n", "unit", "home", "housed"],
+                )
+
+    kind = "dim int, crowd int, centre long, node long, n long, unit binary, home boolean, housed boolean"
+    return nodes.select("node", "embedding", "n").mapInArrow(place, kind)
+
+
+def crowd_links(placed: DataFrame) -> DataFrame:
+    """(node, centre, linked) of the rows of ``crowds``, in parts: ``linked`` adds up to all rows
+    that a home row is linked with, to the linked home rows of all crowds for a row without a home;
+    ``centre`` is reachable from the node.
+
+    The home rows of a crowd and all its rows are cut into blocks, and a task compares two blocks.
+    Both numbers of blocks grow with the root of a crowd's size, so blocks stay small beside it.
+    """
+    counts = placed.groupBy("dim", "crowd").agg(
+        *[F.ceil(F.sqrt(c) / 8).cast("int").alias(k) for k, c in (("r", F.count_if("home")), ("m", F.count("*")))]
+    )
+    rows = placed.join(F.broadcast(counts), ["dim", "crowd"])
+    own = {c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int") for c in "rm"}
+    every = {c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in "rm"}
+    left = rows.where("home").withColumns({"i": own["r"], "x": F.lit(True)}).withColumn("j", every["m"])
+    right = rows.where("r > 0").withColumns({"j": own["m"], "x": F.lit(False)}).withColumn("i", every["r"])
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        def part(rows: pd.DataFrame) -> tuple:
+            x = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(len(rows), -1)
+            return x, rows["node"].to_numpy(), rows["n"].to_numpy()
+
+        mine, theirs = group[group["x"]], group[~group["x"]]
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"node": [], "centre": [], "linked": []}).astype("int64")
+        (x, a, n), (y, b, m) = part(mine), part(theirs)
+        away, housed = ~theirs["home"].to_numpy(bool), theirs["housed"].to_numpy(bool)
+        for_x, for_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for at in range(0, len(x), 512):
+            near = ((x[at : at + 512] @ y.T >= THRESHOLD) & (a[at : at + 512, None] != b)).astype(np.float64)
+            for_x[at : at + 512] = near @ m
+            for_y += (n[at : at + 512] @ near).astype(np.int64)
+        # Links of a row that is at home elsewhere are counted there.
+        nodes, some = np.concatenate([a, b[away]]), np.concatenate([for_x, for_y[away]]) > 0
+        linked = np.concatenate([for_x, np.where(housed, 0, for_y)[away]])
+        centre = group["centre"].iloc[0]
+        return pd.DataFrame({"node": nodes[some], "centre": np.full(some.sum(), centre), "linked": linked[some]})
+
+    both = left.unionByName(right).drop("r", "m")
+    return both.groupBy("dim", "crowd", "i", "j").applyInPandas(compare, "node long, centre long, linked long")
+
+
 def links(nodes: DataFrame, trees: int = TREES, seed: int = SEED) -> DataFrame:
     """Linked pairs (a, b) of ``node, embedding`` rows; vectors are finite and not zero.
 
@@ -110,12 +232,10 @@ def links(nodes: DataFrame, trees: int = TREES, seed: int = SEED) -> DataFrame:
     compared. Vectors of different dimensions never link.
     """
     spark = nodes.sparkSession
-    total = {r["d"]: r["count"] for r in nodes.groupBy(F.size("embedding").alias("d")).count().collect()}
     rng = np.random.default_rng(seed)
     forest = {}
-    for d, n in sorted(total.items()):
-        drawn = nodes.where(F.size("embedding") == d).orderBy(F.xxhash64(F.lit(seed), "node")).limit(SAMPLE)
-        x = _unit(drawn.select("embedding").toArrow().column(0).to_pylist())
+    for d, n in _sizes(nodes):
+        x = _unit(_drawn(nodes, d, seed).column("embedding").to_pylist())
         stop = max(LEAST, int(4 * LEAF * len(x) / n))
         forest[d] = [grow(x, stop, rng) for _ in range(trees)]
     shared = spark.sparkContext.broadcast(forest)
@@ -179,11 +299,17 @@ def report(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
         .agg(F.min("id").alias("low"), F.count("*").alias("n"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    found = materialise(links(nodes.select("node", "embedding")))
+    placed = materialise(crowds(nodes))
+    home = placed.where("home").select("node", "centre")
+    crowded = materialise(crowd_links(placed))
+    # Links with home rows are counted; the trees find those between all others.
+    found = materialise(links(materialise(nodes.select("node", "embedding").join(home, "node", "left_anti"))))
     sizes = nodes.select("node", "n")
     each = found.union(found.select("b", "a")).toDF("node", "other")
-    counted = each.join(sizes.toDF("other", "m"), "other").groupBy("node").agg(F.sum("m").alias("linked"))
-    roots = components(found).select(F.col("id").alias("node"), "root")
+    within = each.join(sizes.toDF("other", "m"), "other").select("node", "m")
+    counted = within.union(crowded.select("node", "linked")).groupBy("node").agg(F.sum("m").alias("linked"))
+    near_centre = crowded.select("node", "centre").union(home).distinct()
+    roots = components(found.union(near_centre)).select(F.col("id").alias("node"), "root")
     full = (
         nodes.join(counted, "node", "left")
         .join(roots, "node", "left")

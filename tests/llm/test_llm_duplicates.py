@@ -154,6 +154,26 @@ def test_forest_finds_pairs_across_many_leaves(spark, monkeypatch):
     assert found <= want and len(found) >= 0.97 * len(want)
 
 
+def test_every_link_of_large_groups_counts(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    tight = centre + 0.03 * rng.normal(size=(5000, 64))
+    loose = -centre + 0.045 * rng.normal(size=(1500, 64))
+    other = rng.normal(size=(3000, 64))
+    x = np.concatenate([tight, loose, other, other[:500] + 0.2 * rng.normal(size=(500, 64))])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = unit @ unit.T >= 0.9
+    want = near.sum(1) - 1
+    assert want[:5000].min() > 4000 and 50 < np.median(want[5000:6500]) < 1450
+    got = {r["vec_id"]: r for r in embeddings.report(df).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert found[:5000].sum() == want[:5000].sum()
+    assert (found <= want).all() and (found[5000:] == want[5000:]).mean() > 0.99
+    assert {got[i]["component_id"] for i in range(5000)} == {0}
+
+
 def test_vector_query_on_the_given_table(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'").fetchall()
     got = sorted(tuple(r) for r in QUERIES["op8_embedding_near_duplicates"](spark, SF).collect())
