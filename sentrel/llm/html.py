@@ -6,8 +6,8 @@ groups, neighbours of one kind become a repeated group, and texts that differ be
 texts equal on all pages stay part of the template. Aligning is associative enough to be done in
 parts: each task aligns the pages it reads, and the tasks' wrappers are aligned with one another.
 
-The wrapper then tells where a host keeps its article; every page is matched with its host's
-wrapper and gives the texts in those places.
+The wrapper then tells where a host may keep its article, in order of preference; every page gives
+the texts in the first of these places that it fills. Pages of no host get a wrapper each.
 """
 
 from __future__ import annotations
@@ -250,12 +250,25 @@ def _gain(node: Node) -> int:
     return 0 if _boiler(node) else sum(map(_gain, node.kids))
 
 
-def main_places(wrapper: Node) -> set[tuple[str, ...]]:
-    """Paths (keys from the root) of the wrapper's places that hold main text.
+def _container(node: Node) -> tuple[Node, tuple]:
+    """The innermost container that holds most of the text that is not in links, and its path."""
+    path: tuple = ()
+    while True:
+        total = _gain(node)
+        inner = [k for k in node.kids if k.tag in CONTAINERS and 10 * _gain(k) >= 8 * total > 0]
+        if not inner:
+            return node, path
+        node = inner[0]
+        path = (*path, node.key)
+
+
+def main_places(wrapper: Node) -> list[set[tuple[str, ...]]]:
+    """Paths (keys from the root) of the wrapper's places that hold main text, by preference.
 
     Article and main elements come first, then elements whose marks say so, then what holds most
-    of the text that is not in links. Places marked as something else are taken out wherever they
-    stand, and so are menus: groups with more text in links than beside them.
+    of the text that is not in links, and last all places. Places marked as something else are
+    taken out wherever they stand, and so are menus: groups with more text in links than beside
+    them.
     """
 
     def named(node: Node, path: tuple, test) -> Iterator[tuple[Node, tuple]]:
@@ -267,55 +280,48 @@ def main_places(wrapper: Node) -> set[tuple[str, ...]]:
             else:
                 yield from named(kid, (*path, kid.key), test)
 
-    best: list[tuple[Node, tuple]] = []
-    for test in (
-        lambda n: n.tag == "article" or "articlebody" in n.words(),
-        lambda n: n.tag == "main" or "main" in n.words(),
-        lambda n: bool(n.words() & MAIN_WORDS) and n.tag not in ("html", "body"),
-    ):
-        best = [(n, p) for n, p in named(wrapper, (), test) if _gain(n)]
-        if best:
-            break
-    else:
-        node, path = wrapper, ()
-        while True:
-            total = _gain(node)
-            inner = [k for k in node.kids if k.tag in CONTAINERS and 10 * _gain(k) >= 8 * total > 0]
-            if not inner:
-                break
-            node = inner[0]
-            path = (*path, node.key)
-        best = [(node, path)]
-    places: set[tuple[str, ...]] = set()
-
-    def collect(node: Node, path: tuple) -> None:
+    branches = [
+        [(n, p) for n, p in named(wrapper, (), test) if _gain(n)]
+        for test in (
+            lambda n: n.tag == "article" or "articlebody" in n.words(),
+            lambda n: n.tag == "main" or "main" in n.words(),
+            lambda n: bool(n.words() & MAIN_WORDS) and n.tag not in ("html", "body"),
+        )
+    ]
+    branches += [[_container(wrapper)], [(wrapper, ())]]
+
+    def collect(node: Node, path: tuple, places: set) -> set[tuple[str, ...]]:
         for kid in node.kids:
             here = (*path, kid.key)
             if kid.key == "#":
                 places.add(here)
             elif not _boiler(kid) and not (kid.linked * 2 > kid.chars and kid.tag in LISTS):
-                collect(kid, here)
+                collect(kid, here, places)
+        return places
+
+    found = [set().union(*[collect(n, p, set()) for n, p in branch]) for branch in branches]
+    return [places for places in found if places]
 
-    for node, path in best:
-        collect(node, path)
-    return places
 
+def extract(page: Node, places: list[set[tuple[str, ...]]]) -> list[str]:
+    """Texts of a page, in page order, in the first of the wrapper's main places that it fills.
 
-def extract(page: Node, places: set[tuple[str, ...]]) -> list[str]:
-    """Texts of a page in the wrapper's main places, in page order."""
-    out: list[str] = []
+    A page that only fills the last, all places of the wrapper, gives its own largest container.
+    """
 
-    def walk(node: Node, path: tuple) -> None:
+    def walk(node: Node, path: tuple, within: set) -> Iterator[str]:
         for kid in node.kids:
             here = (*path, kid.key)
-            if kid.key == "#":
-                if here in places:
-                    out.append(kid.text)
-            else:
-                walk(kid, here)
+            if kid.key != "#":
+                yield from walk(kid, here, within)
+            elif here in within:
+                yield kid.text
 
-    walk(page, ())
-    return out
+    for within in places[:-1]:
+        out = list(walk(page, (), within))
+        if out:
+            return out
+    return list(walk(*_container(page), places[-1])) if places else []
 
 
 def _merge(packed: list[str]) -> str:
@@ -363,8 +369,8 @@ def infer(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Per row of ``pages`` (``url``, ``html``): key, url, ``text`` and ``n_chars``.
 
-    Null html counts as empty and gives an empty text. A null url has the empty host; its pages
-    share a wrapper. A host with one page gets a wrapper from that page. Rows stay as they are,
+    Null html counts as empty and gives an empty text. Pages without a host (a null url has
+    none) may come from anywhere: each gets a wrapper of its own, and so does a host with one page. Rows stay as they are,
     repeated ones too; an empty table gives an empty table.
     """
     kind = pages.select(f"`{key}`").schema[0].dataType.simpleString()
@@ -372,19 +378,21 @@ def main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
         F.col(f"`{key}`").alias("id"), F.col("url").cast("string").alias("url"), whole("html").alias("html"),
         host_of(F.col("url")).alias("host"),
     )
-    wrappers = infer(rows.select("host", "html")).withColumnRenamed("host", "h")
+    wrappers = infer(rows.where("host <> ''").select("host", "html")).withColumnRenamed("host", "h")
     both = rows.join(wrappers, F.col("host") == F.col("h"), "left").select("id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set] = {}
+        known: dict[str, list[set]] = {}
         for batch in slices(batches, "html", 1 << 22):
             texts = []
             for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
-                if wrapper not in known:
+                if wrapper is None:
+                    places = main_places(fold(parse(html)))
+                elif wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[wrapper] = main_places(unpack(json.loads(wrapper)))
-                texts.append("\n".join(extract(parse(html), known[wrapper])))
+                texts.append("\n".join(extract(parse(html), places if wrapper is None else known[wrapper])))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],

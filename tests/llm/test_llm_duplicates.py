@@ -217,6 +217,16 @@ def test_wrapper_expression():
     assert html.expression(wrapper) == '<div>(<h2>"t"</h2>)?(<p>#</p>)+</div>'
 
 
+def test_main_text_of_a_host_with_mixed_templates(spark):
+    frames = ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div id=q>{}</div>", "<div id=z>{}</div>", "{}"]
+    bodies = [f.format(f"<p>Text number {i} of this page.</p>") for i in range(40) for f in frames]
+    urls = ["http://mixed.example/x", None]
+    rows = [(i * 2 + k, u, _page("mixed", b, i)) for i, b in enumerate(bodies) for k, u in enumerate(urls)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert got == {i: f"Text number {i // 2 // len(frames)} of this page." for i, _, _ in rows}
+
+
 def test_main_text_query_gives_the_documents(spark):
     sf = "/root/testdata/sf0.01"
     squeeze = lambda t: "\n".join(x for x in (re.sub(r"\s+", " ", y).strip() for y in t.split("\n")) if x)
