@@ -7,11 +7,14 @@ texts equal on all pages stay part of the template. Aligning is associative enou
 parts: each task aligns the pages it reads, and the tasks' wrappers are aligned with one another.
 
 The wrapper then tells where a host may keep its article, in order of preference; every page gives
-the texts in the first of these places that it fills. Pages of no host get a wrapper each.
+the texts in the first of these places that it fills. Pages of no host get a wrapper each. Which
+places these are follows from tags, marks and the share of links in the wrapper; texts that nearly
+all pages of a host have are its template's, wherever they stand, and are left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentrel.functions.staging import materialise
 from sentrel.llm.common import slices, whole
 from sentrel.llm.urls import host_of
 
@@ -66,6 +70,8 @@ _TOKEN = re.compile(
 _MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Share of a host's different pages that a template's text stands on, and the fewest such pages.
+SHARED, LEAST_PAGES = 0.8, 8
 #: Text of a slot that is kept to see whether it differs from page to page.
 KEPT_CHARS = 200
 
@@ -244,7 +250,7 @@ def _boiler(node: Node) -> bool:
 
 
 def _gain(node: Node) -> int:
-    """Characters that vary between pages and stand outside links and marked places."""
+    """Characters that stand outside links and marked places."""
     if node.key == "#":
         return node.chars - node.linked
     return 0 if _boiler(node) else sum(map(_gain, node.kids))
@@ -324,6 +330,48 @@ def extract(page: Node, places: list[set[tuple[str, ...]]]) -> list[str]:
     return list(walk(*_container(page), places[-1])) if places else []
 
 
+def _texts(node: Node) -> Iterator[str]:
+    for kid in node.kids:
+        if kid.key == "#":
+            yield kid.text
+        elif not _boiler(kid):
+            yield from _texts(kid)
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def without_shared(texts: list[str], shared: set[int]) -> list[str]:
+    """The texts that are not the template's. A page that would lose most of its text keeps all:
+    it is a copy of the host's other pages."""
+    own = [t for t in texts if _digest(t) not in shared]
+    return own if 2 * sum(map(len, own)) >= sum(map(len, texts)) else texts
+
+
+def shared_texts(pages: DataFrame) -> DataFrame:
+    """(host, shared) from ``host, html`` rows: digests of the texts that stand on ``SHARED`` of the
+    host's pages, counting pages of the same texts once. There are few: a text needs most pages."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "html", 1 << 22):
+            found = [sorted(set(map(_digest, _texts(parse(h))))) for h in batch.column("html").to_pylist()]
+            alike = [_digest(str(f)) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(alike, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                ["host", "page", "texts"],
+            )
+
+    rows = pages.mapInArrow(each, "host string, page long, texts array<bigint>")
+    # A row per page counts the pages (no text), one per text the text.
+    with_page = F.explode(F.concat(F.array(F.lit(None).cast("long")), "texts")).alias("t")
+    counted = rows.dropDuplicates(["host", "page"]).select("host", with_page).groupBy("host", "t").count()
+    counted = materialise(counted.where(F.col("t").isNull() | (F.col("count") >= SHARED * LEAST_PAGES)))
+    total = counted.where("t is null").select("host", F.col("count").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    often = counted.where("t is not null").join(total, "host").where(F.col("count") >= SHARED * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_set("t").alias("shared"))
+
+
 def _merge(packed: list[str]) -> str:
     wrapper = unpack(json.loads(packed[0]))
     for other in packed[1:]:
@@ -379,20 +427,23 @@ def main_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
         host_of(F.col("url")).alias("host"),
     )
     wrappers = infer(rows.where("host <> ''").select("host", "html")).withColumnRenamed("host", "h")
-    both = rows.join(wrappers, F.col("host") == F.col("h"), "left").select("id", "url", "html", "wrapper")
+    shared = shared_texts(rows.where("host <> ''").select("host", "html")).withColumnRenamed("host", "h")
+    wrappers = wrappers.join(shared, "h", "left")
+    both = rows.join(wrappers, F.col("host") == F.col("h"), "left").select("id", "url", "html", "wrapper", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[set]] = {}
         for batch in slices(batches, "html", 1 << 22):
             texts = []
-            for html, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            for html, wrapper, common in zip(*[batch.column(c).to_pylist() for c in ("html", "wrapper", "shared")], strict=True):
                 if wrapper is None:
                     places = main_places(fold(parse(html)))
                 elif wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[wrapper] = main_places(unpack(json.loads(wrapper)))
-                texts.append("\n".join(extract(parse(html), places if wrapper is None else known[wrapper])))
+                said = extract(parse(html), places if wrapper is None else known[wrapper])
+                texts.append("\n".join(without_shared(said, set(common)) if common else said))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],

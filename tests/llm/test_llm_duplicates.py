@@ -227,6 +227,16 @@ def test_main_text_of_a_host_with_mixed_templates(spark):
     assert got == {i: f"Text number {i // 2 // len(frames)} of this page." for i, _, _ in rows}
 
 
+def test_main_text_leaves_out_what_all_pages_say(spark):
+    notice = "<p>Read our terms of use before you write to us.</p>" + f"<p>{'long ' * 60}</p>"
+    said = [" ".join(f"w{i}x{k}" for k in range(120)) for i in range(20)]
+    rows = [(i, "http://n.example/x", _page("n", f"<article><p>{t}</p>{notice}<p>End {i}</p></article>", i)) for i, t in enumerate(said)]
+    rows += [(100 + i, "http://copies.example/", _page("n", "<article><p>The same.</p></article>", 0)) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert got == {i: f"{t}\nEnd {i}" for i, t in enumerate(said)} | {100 + i: "The same." for i in range(20)}
+
+
 def test_main_text_query_gives_the_documents(spark):
     sf = "/root/testdata/sf0.01"
     squeeze = lambda t: "\n".join(x for x in (re.sub(r"\s+", " ", y).strip() for y in t.split("\n")) if x)
