@@ -29,6 +29,9 @@ from sentrel.llm.common import WORD_GAP, slices, whole
 from sentrel.operators.clusters import components
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: How much more a shingle of one row weighs than one of all rows. A pair of plain similarity s keeps
+#: s / (s + (1 - s) (1 + IDF_SPAN)) whatever the counts.
+IDF_SPAN = 0.1
 #: At similarity 0.8 a pair misses all bands once in 1300 times.
 BANDS, ROWS = 10, 3
 #: Counters of document frequency, and how many of them travel in one row.
@@ -171,12 +174,13 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def inverse_frequencies(counts: np.ndarray, rows: int) -> np.ndarray:
-    """1 for a shingle in all rows, up to 2 for one in a single row.
+    """1 for a shingle in all rows, up to 1 + ``IDF_SPAN`` for one in a single row.
 
-    The floor of 1 keeps the measure near the plain similarity: what many texts share weighs less
-    than what few have, but copies of a text do not make it dissimilar to itself.
+    What many texts share weighs less than what few have, but only so little that the number of a
+    text's copies, or counters that shingles share, cannot part texts of plain similarity 0.815.
     """
-    return (1 + np.log((1 + rows) / (1 + np.minimum(counts, rows))) / np.log(2 + rows)).astype(np.float32)
+    rarity = np.log((1 + rows) / (1 + np.minimum(counts, rows))) / np.log(2 + rows)
+    return (1 + IDF_SPAN * rarity).astype(np.float32)
 
 
 def sample(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, seed: int = SEED) -> np.ndarray:

@@ -83,6 +83,20 @@ def test_minhash_chains_groups_and_edges(spark, docs_of):
     assert got[3001] == got[3002] == 3000 and got[3004] == 3003
 
 
+def test_size_of_a_group_does_not_undo_its_links(spark, docs_of):
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(305)]
+    rows = []
+    for i in range(20):
+        words = list(base)
+        for k in (i, 20 + i, 40 + i):
+            words[4 + 5 * k] = f"c{i}x{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.report(docs_of(rows)).collect()}
+    assert got == {i: 0 if i < 20 else i for i, _ in rows}
+
+
 def test_deduplicate_keeps_one_of_each(spark, docs_of):
     rows = [(5, "a b c d e f g"), (3, "a b c d  e f g"), (None, "a b c d e f g"), (7, "other words altogether here now")]
     rows += [(7, "other words altogether here now")] * 2 + [(None, "third text of its own"), (8, None), (9, "")]
