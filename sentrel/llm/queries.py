@@ -8,7 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sentrel.functions.staging import staging_dir
-from sentrel.llm import bpe, chat, embeddings, html, minhash, mixing, quality, token_counts, toxicity, urls
+from sentrel.llm import (
+    bpe,
+    chat,
+    embeddings,
+    html,
+    licenses,
+    minhash,
+    mixing,
+    negatives,
+    quality,
+    runs,
+    token_counts,
+    toxicity,
+    urls,
+)
 from sentrel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +89,18 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
+
+
+@query("op11_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_license_scan", licenses.sql())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", negatives.sql())
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
