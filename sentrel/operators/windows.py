@@ -244,6 +244,45 @@ def prefix_max(
     )
 
 
+def running(
+    rows: DataFrame,
+    keys: Sequence[str],
+    ts_us: str,
+    order: Sequence[Column | str],
+    sums: dict[str, Column],
+    latest: dict[str, Column] | None = None,
+    bucket_us: int = 3_600_000_000,
+) -> DataFrame:
+    """Running sums and maxima along a key: ``sums`` up to and including each row, ``latest`` before it.
+
+    ``order`` must begin with ``ts_us`` and leave no ties that matter. Two levels, and one shuffle of
+    the rows: what a time bucket adds is chained along the key (one row per key and bucket), and the
+    chained value goes into its bucket as a first row, so a key's history is never in one task. Null
+    keys are a key; null values add nothing.
+    """
+    keys, latest = list(keys), latest or {}
+    added = {f"__{out}": value for out, value in (sums | latest).items()}
+    tagged = rows.withColumn("__b", bucket_of(ts_us, bucket_us)).withColumns(added)
+    fold = {out: F.sum if out in sums else F.max for out in sums | latest}
+    chain = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = (
+        tagged.groupBy(*keys, "__b")
+        .agg(*[f(f"__{out}").alias(f"__{out}") for out, f in fold.items()])
+        .select(*keys, "__b", *[f(f"__{out}").over(chain).alias(f"__{out}") for out, f in fold.items()])
+        .withColumn("__row", F.lit(0))
+    )
+    part = Window.partitionBy(*keys, "__b").orderBy("__row", *order)
+    through = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = part.rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        tagged.withColumn("__row", F.lit(1))
+        .unionByName(heads, allowMissingColumns=True)
+        .withColumns({out: f(f"__{out}").over(through if out in sums else before) for out, f in fold.items()})
+        .where("__row = 1")
+        .drop("__b", "__row", *added)
+    )
+
+
 def numbered(
     rows: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence, out: str, total: str
 ) -> DataFrame:

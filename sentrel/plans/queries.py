@@ -8,6 +8,7 @@ from sentrel.plans import (  # noqa: F401
     model_queries,
     pattern_queries,
     quality_queries,
+    sensor_queries,
     view_queries,
 )
 from sentrel.plans.registry import ORACLES, QUERIES  # noqa: F401
