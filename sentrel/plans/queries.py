@@ -4,6 +4,7 @@ from sentrel.plans import (  # noqa: F401
     control_queries,
     file_queries,
     flow_queries,
+    identity_queries,
     incident_queries,
     model_queries,
     pattern_queries,
