@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
-from sentrel.operators.clusters import dbscan, fit_scaler, scale
+from sentrel.functions.staging import materialise
+from sentrel.operators.clusters import components, dbscan, fit_scaler, scale
+from sentrel.operators.nearest import nearest_within, scaled_signature, within
 
 # Signature field -> flow feature, taken from the first member of a cluster.
 SIGNATURE = {
@@ -131,6 +133,66 @@ def match_patterns(signatures: DataFrame, store: DataFrame) -> DataFrame:
     return signatures.join(first, "cluster_size", "left")
 
 
+def match_by_distance(
+    signatures: DataFrame,
+    store: DataFrame,
+    scales: dict[str, tuple[float, float]],
+    threshold: float,
+    version: str = "signature-1",
+) -> DataFrame:
+    """Signatures with the stored pattern they are nearest to, if one lies within ``threshold``.
+
+    In place of ``match_patterns``, which calls clusters of equal size the same. Adds ``matched_id``,
+    ``match_distance``, ``n_within`` and ``signature_version``. Distances are Euclidean over the
+    features of ``scales`` (name: centre, spread), which go with the version. A signature that lacks a
+    feature matches nothing. Ties go to the smaller pattern id.
+    """
+    v = scaled_signature("behavioral_signature", scales).alias("v")
+    found = nearest_within(
+        signatures.select(F.col("cluster").alias("id"), v), store.select(F.col("pattern_id").alias("id"), v), threshold
+    ).select(F.col("query_id").alias("cluster"), "matched_id", F.col("distance").alias("match_distance"), "n_within")
+    return signatures.join(found, "cluster", "left").select(
+        "*", F.lit(version).alias("signature_version")
+    ).fillna(0, "n_within")
+
+
+def extend_store_by_distance(
+    signatures: DataFrame,
+    store: DataFrame,
+    scales: dict[str, tuple[float, float]],
+    threshold: float,
+    detected_at: Column | None = None,
+    version: str = "signature-1",
+) -> DataFrame:
+    """Store, with all its columns, plus one pattern for each group of signatures that match none.
+
+    New signatures within ``threshold`` of one another, directly or through others, are one pattern;
+    the smallest cluster number gives its signature and size. A signature that lacks a feature makes
+    a pattern of its own.
+    """
+    when = F.current_timestamp() if detected_at is None else detected_at
+    fresh = materialise(
+        match_by_distance(signatures, store, scales, threshold, version).where(F.col("matched_id").isNull())
+    )
+    rows = fresh.select(F.col("cluster").alias("id"), scaled_signature("behavioral_signature", scales).alias("v"))
+    links = within(rows, rows.toDF("id", "v"), threshold).where(F.col("query_id") < F.col("stored_id"))
+    later = components(links.select(F.col("query_id").alias("a"), F.col("stored_id").alias("b"))).select(
+        F.col("id").alias("cluster")
+    )
+    last = store.agg(F.coalesce(F.max("store_order"), F.lit(-1))).scalar()
+    new = fresh.join(later, "cluster", "left_anti").select(
+        signature_id(F.col("behavioral_signature"), F.col("cluster_size")).alias("pattern_id"),
+        "cluster_size",
+        F.lit("NEW").alias("status"),
+        when.alias("first_detected"),
+        F.lit(fixed.PATTERN_METHOD).alias("source"),
+        "behavioral_signature",
+        (last + 1 + F.col("cluster")).cast("bigint").alias("store_order"),
+        F.lit(version).alias("signature_version"),
+    )
+    return store.unionByName(new, allowMissingColumns=True)
+
+
 def signature_id(signature: Column, cluster_size: Column) -> Column:
     """Pattern id from the content of its signature and the size of its cluster (64 bits)."""
     text = F.to_json(F.map_from_entries(F.sort_array(F.map_entries(signature))))

@@ -7,6 +7,7 @@ from sentrel.plans import (  # noqa: F401
     identity_queries,
     incident_queries,
     model_queries,
+    nearness_queries,
     pattern_queries,
     quality_queries,
     sensor_queries,
