@@ -6,6 +6,7 @@ from sentrel.plans import (  # noqa: F401
     flow_queries,
     identity_queries,
     incident_queries,
+    late_queries,
     model_queries,
     nearness_queries,
     pattern_queries,
