@@ -2,6 +2,7 @@
 
 from sentrel.plans import (  # noqa: F401
     control_queries,
+    dataset_queries,
     file_queries,
     flow_queries,
     identity_queries,
