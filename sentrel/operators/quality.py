@@ -44,6 +44,23 @@ def usable_files(df: DataFrame, features: Sequence[str], file: str) -> DataFrame
     )
 
 
+def route_files(df: DataFrame, features: Sequence[str], file: str = "file") -> DataFrame:
+    """What the feature contract says of each file: ``file, n_rows, missing, usable``.
+
+    ``missing`` names, in contract order, the features without any value in the file, or without a
+    column in the table. A file with missing features is skipped and reported, the others go on: join
+    on the usable files, or see ``clean``. A null file name is a file.
+    """
+    present = [f for f in features if f in df.columns]
+    counts = {f: F.count(f"`{f}`").alias(f"__n{i}") for i, f in enumerate(present)}
+    counted = df.groupBy(file).agg(F.count("*").alias("n_rows"), *counts.values())
+    absent = [
+        F.when(F.col(f"__n{present.index(f)}") == 0, f) if f in counts else F.lit(f) for f in features
+    ]
+    missing = F.array_compact(F.array(*absent)).cast("array<string>")
+    return counted.select(file, "n_rows", missing.alias("missing"), (F.size(missing) == 0).alias("usable"))
+
+
 def clean(
     raw: DataFrame,
     features: Sequence[str] = fixed.FLOW_FEATURES,

@@ -19,16 +19,20 @@ def _folder(spark, name):
     return f"{staging_dir(spark)}/sentrel-{name}-{uuid.uuid4().hex}"
 
 
-@query("file_documents", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
+@query(
+    "file_documents",
+    "SELECT l_orderkey AS id, l_linenumber AS line, l_quantity AS quantity, l_returnflag AS flag FROM lineitem",
+)
 def file_documents(spark, sf_dir):
-    """A JSON array document, as dashboards keep it."""
-    path = _folder(spark, "array")
-    rows = table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")
+    """JSON array documents, one for the few lines of each order, written and read in parallel."""
+    path = _folder(spark, "arrays")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"),
+        F.col("l_returnflag").alias("flag"),
     )
-    document = rows.agg(F.to_json(F.collect_list(F.struct("id", "name", "region"))).alias("value"))
-    document.coalesce(1).write.text(path)
-    return src.read_documents(spark, path, "id int, name string, region int")
+    documents = rows.groupBy("id").agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    documents.select("value").write.text(path)
+    return src.read_documents(spark, path, "id bigint, line int, quantity double, flag string", per_line=True)
 
 
 @query("file_rows", "SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer")

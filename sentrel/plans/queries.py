@@ -8,6 +8,7 @@ from sentrel.plans import (  # noqa: F401
     identity_queries,
     incident_queries,
     late_queries,
+    model_checks,
     model_queries,
     nearness_queries,
     pattern_queries,

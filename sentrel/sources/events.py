@@ -78,10 +78,13 @@ def _empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Elements of a JSON array document; no file, no array or bad JSON gives no rows."""
+def read_documents(spark: SparkSession, path: str, schema: str, per_line: bool = False) -> DataFrame:
+    """Elements of JSON array documents; no file, no array or bad JSON gives no rows.
+
+    A document is a file, or a line with ``per_line``, so that files of many documents are split.
+    """
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=not per_line)
     except AnalysisException:
         return _empty(spark, schema)
     arrays = text.where(F.ltrim(F.col("value")).startswith("["))
