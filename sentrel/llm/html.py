@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from html import unescape
@@ -53,6 +54,20 @@ BOILER_WORDS = frozenset(
     " social comment comments reply replies respondent disqus related recommended widget search pagination pager"
     " copyright disclaimer legal contentinfo complementary".split()
 )
+#: Marks that name a thing of the page only alone or beside one another or such neutral words: an
+#: ``entry-header`` or a ``legal-opinion`` is neither a page's header nor its legal notice.
+WEAK_WORDS = frozenset(
+    "header legal notice alert search copyright disclaimer signup login popup modal overlay subscribe subscription"
+    " recommended reply replies share sharing".split()
+)
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box buttons container fixed form global group id inner item items js left link links list"
+    " outer page panel right row section site sticky top wrap wrapper".split()
+)
+#: What follows such a word in a mark says what the element has or lacks, not what it is.
+HAVING = frozenset("has have no not with without".split())
+#: Elements that are never left out for their marks.
+WHOLE = frozenset("html body main article".split())
 MAIN_WORDS = frozenset("article articlebody main content post story entry body text".split())
 #: Elements that may hold a whole article, and those that are menus if most of their text is links.
 CONTAINERS = frozenset("html body div section table tbody tr td".split())
@@ -62,14 +77,19 @@ CLOSES = {
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",),
 }
+#: A tag ends at its bracket or where the next one begins; nothing is read twice in search of an end.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z|(?=<))",
     re.DOTALL,
 )
 _MARK = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Open elements of a page that are told apart; deeper ones belong to the last of these, with their texts.
+DEEPEST = 200
+#: Children of a place that keep their order; of more, those of one kind become one repeated group.
+MOST_KIDS = 64
 #: Share of a host's different pages that a template's text stands on, and the fewest such pages.
 SHARED, LEAST_PAGES = 0.8, 8
 #: Text of a slot that is kept to see whether it differs from page to page.
@@ -97,14 +117,31 @@ class Node:
         return set(self.key.split(".")[1:])
 
 
+def marks_of(said: str) -> set[str]:
+    """Words of an element's class, id and role that say what it is."""
+    out: set[str] = set()
+    for mark in said.split():
+        words = _WORDS.findall(mark)
+        for i, word in enumerate(words):
+            if word in HAVING:
+                words = words[:i]
+                break
+        if any(w not in BOILER_WORDS and w not in NEUTRAL_WORDS for w in words):
+            words = [w for w in words if w not in WEAK_WORDS]
+        out.update(words)
+    return out
+
+
 def parse(html: str) -> Node:
     """The tree of a page's block elements and text slots; inline elements leave no trace.
 
     Open elements that HTML closes silently are closed, end tags without a start are skipped, and
-    an end tag or a cut page closes whatever is open within.
+    an end tag or a cut page closes whatever is open within. Elements below ``DEEPEST`` open ones
+    begin and end blocks but are no nodes.
     """
     root = Node("")
     stack, parts, state = [root], [], {"links": 0, "linked": 0}
+    below: Counter[str] = Counter()
 
     def flush() -> None:
         text = _SPACE.sub(" ", unescape("".join(parts))).strip()
@@ -137,10 +174,14 @@ def parse(html: str) -> Node:
         elif tag == "br":
             parts.append(" ")
         if closing:
-            if tag in BLOCKS and any(n.tag == tag for n in stack[1:]):
+            if below[tag]:
+                below[tag] -= 1
+                flush()
+            elif tag in BLOCKS and any(n.tag == tag for n in stack[1:]):
                 flush()
                 while stack.pop().tag != tag:
                     pass
+                below.clear()
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
@@ -159,8 +200,12 @@ def parse(html: str) -> Node:
                     break
         if tag in VOID:
             continue
+        if len(stack) > DEEPEST:
+            if not marks.endswith("/"):
+                below[tag] += 1
+            continue
         said = " ".join(m[2] or m[3] or m[4] or "" for m in _MARK.finditer(marks)).lower()
-        node = Node(".".join([tag, *sorted(set(_WORDS.findall(said)))]))
+        node = Node(".".join([tag, *sorted(marks_of(said))]))
         stack[-1].kids.append(node)
         stack.append(node)
         if marks.endswith("/"):
@@ -179,13 +224,29 @@ def fold(node: Node) -> Node:
             out[-1].repeated, out[-1].pages = True, pages
         else:
             out.append(kid)
-    node.kids = out
-    for kid in out:
+    node.kids = gather(out)
+    for kid in node.kids:
         node.chars += kid.chars if kid.key == "#" or node.key != "#" else 0
         node.linked += kid.linked
     return node
 
 
+def gather(kids: list[Node]) -> list[Node]:
+    """The children as they are or, of more than ``MOST_KIDS``, one repeated group of each kind."""
+    if len(kids) <= MOST_KIDS:
+        return kids
+    kinds: dict[str, Node] = {}
+    for kid in kids:
+        first = kinds.get(kid.key)
+        if first is None:
+            kinds[kid.key] = kid
+        else:
+            pages = max(first.pages, kid.pages)
+            kinds[kid.key] = align(first, kid)
+            kinds[kid.key].repeated, kinds[kid.key].pages = kid.key != "#", pages
+    return list(kinds.values())
+
+
 def align(a: Node, b: Node) -> Node:
     """One expression for two of the same kind."""
     out = Node(a.key)
@@ -214,6 +275,7 @@ def align(a: Node, b: Node) -> Node:
             out.kids[-1].repeated, out.kids[-1].pages = kid.key != "#", pages
         else:
             out.kids.append(kid)
+    out.kids = gather(out.kids)
     return out
 
 
@@ -245,8 +307,7 @@ def expression(node: Node) -> str:
 
 
 def _boiler(node: Node) -> bool:
-    words = node.words()
-    return node.tag in BOILER or bool(words & BOILER_WORDS)
+    return node.tag in BOILER or (node.tag not in WHOLE and bool(node.words() & BOILER_WORDS))
 
 
 def _gain(node: Node) -> int:
