@@ -30,6 +30,14 @@ def staging_dir(spark: SparkSession) -> str:
     return _local[sc.applicationId]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """Path of a folder of its own under the staging folder, deleted with the ``staging`` block around it."""
+    path = f"{staging_dir(spark)}/sentrel-{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write the rows and read them back: no recomputation, no lost-executor reruns.
 

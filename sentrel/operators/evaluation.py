@@ -100,3 +100,39 @@ def anomaly_rates(df: DataFrame, label: str = "label") -> DataFrame:
         F.count("*").alias("n"),
         (flagged * 100.0 / F.count("*")).alias("percent"),
     )
+
+
+def alert_rates(rated: DataFrame, device: str, ts_us: str, benign: str = "BENIGN") -> DataFrame:
+    """False alerts per device-hour of every class that was predicted or occurred.
+
+    ``rated`` has ``actual``, ``predicted``, a device and an instant. ``class, n_alerts, n_false,
+    n_missed, device_hours, false_per_device_hour``; device-hours are the distinct pairs of device and
+    hour with any row, alerts are predictions other than ``benign``. Rows without a device or an
+    instant count as alerts but make no device-hour. All but the distinct pairs is summed on the map
+    side.
+    """
+    hours = (
+        rated.where(F.col(device).isNotNull() & F.col(ts_us).isNotNull())
+        .select(device, F.floor(F.col(ts_us) / 3_600_000_000).alias("hour"))
+        .distinct()
+        .agg(F.count("*"))
+        .scalar()
+    )
+    sides = F.array(
+        F.struct(F.col("predicted").alias("class"), F.lit(True).alias("alert")),
+        F.struct(F.col("actual").alias("class"), F.lit(False).alias("alert")),
+    )
+    wrong = ~F.col("actual").eqNullSafe(F.col("predicted"))
+    counted = (
+        rated.select("actual", "predicted", F.inline(sides))
+        .where(F.col("class") != benign)
+        .groupBy("class")
+        .agg(
+            F.count_if("alert").alias("n_alerts"),
+            F.count_if(F.col("alert") & wrong).alias("n_false"),
+            F.count_if(~F.col("alert") & wrong).alias("n_missed"),
+        )
+    )
+    return counted.withColumn("device_hours", hours).withColumn(
+        "false_per_device_hour", F.try_divide(F.col("n_false").cast("double"), F.col("device_hours"))
+    )

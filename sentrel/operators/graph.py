@@ -35,21 +35,19 @@ def graph_edges(events: DataFrame, hosts_only: bool = False) -> DataFrame:
 
 def graph_nodes(events: DataFrame, hosts_only: bool = False) -> DataFrame:
     """Distinct ends; the first role seen wins, the source before the destination."""
+    # Place of the end in the order of events: even for sources, odd for destinations. A minimum of
+    # whole numbers is combined in a hash table, and its parity tells the role.
+    seq = F.coalesce(F.col("seq") * 2, F.lit(-(1 << 62)))
     ends = F.array(
-        F.struct(
-            F.col("src").alias("id"),
-            F.lit("HOST" if hosts_only else "SOURCE").alias("type"),
-            F.lit(0).alias("slot"),
-        ),
-        F.struct(
-            F.col("dst").alias("id"), F.lit("DESTINATION").alias("type"), F.lit(1).alias("slot")
-        ),
+        F.struct(F.col("src").alias("id"), seq.alias("at")), F.struct(F.col("dst").alias("id"), (seq + 1).alias("at"))
     )
+    role = F.when(F.pmod(F.col("at"), F.lit(2)) == 0, "HOST" if hosts_only else "SOURCE").otherwise("DESTINATION")
     return (
         _usable(events, hosts_only)
-        .select("seq", F.explode(ends).alias("e"))
-        .groupBy(F.col("e.id").alias("id"))
-        .agg(F.min_by("e.type", F.struct("seq", "e.slot")).alias("type"))
+        .select(F.inline(ends))
+        .groupBy("id")
+        .agg(F.min("at").alias("at"))
+        .select("id", role.alias("type"))
     )
 
 

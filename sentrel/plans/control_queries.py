@@ -55,7 +55,7 @@ cm AS (SELECT ch.controller, md5(ch.controller || '|' || ch.us) AS command_id,
 
 def _decisions(spark, sf_dir):
     devices = spark.createDataFrame([(d,) for d in ad.REGISTERED_DEVICES], "device_id string")
-    return tel.decide(ad.telemetry(spark, sf_dir), devices, ad.TEST_KEY, bucket_seconds=86_400)
+    return tel.decide(ad.telemetry(spark, sf_dir), devices, ad.TEST_KEY)
 
 
 def _samples(spark, sf_dir):

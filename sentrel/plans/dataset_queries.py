@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from sentrel.functions.staging import scratch as _folder
 from sentrel.operators import accounting, drift, manifest
 from sentrel.operators.accounting import Rule
 from sentrel.plans.adapters import table
-from sentrel.plans.file_queries import _folder
 from sentrel.plans.registry import query
 
 DAY = 86_400_000_000

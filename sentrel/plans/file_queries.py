@@ -1,11 +1,9 @@
 """Sources, sinks and the flow stream: given tables are written to the staging folder and read back
 through the operators."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from sentrel.functions.staging import staging_dir
+from sentrel.functions.staging import scratch as _folder
 from sentrel.operators import quality as q
 from sentrel.plans.adapters import FLOW_WINDOW_SECONDS, packets, sec_events, table
 from sentrel.plans.flow_queries import short_features
@@ -15,10 +13,6 @@ from sentrel.sources import events as src
 from sentrel.streaming import jobs
 
 
-def _folder(spark, name):
-    return f"{staging_dir(spark)}/sentrel-{name}-{uuid.uuid4().hex}"
-
-
 @query(
     "file_documents",
     "SELECT l_orderkey AS id, l_linenumber AS line, l_quantity AS quantity, l_returnflag AS flag FROM lineitem",

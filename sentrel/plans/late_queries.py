@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sentrel.functions.staging import scratch as _folder
 from sentrel.operators import lateness
 from sentrel.plans.adapters import table
-from sentrel.plans.file_queries import _folder
 from sentrel.plans.registry import query
 from sentrel.streaming import late
 

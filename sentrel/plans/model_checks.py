@@ -7,12 +7,12 @@ each row turns wrong if the operator is.
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sentrel.functions.staging import scratch as _folder
 from sentrel.operators import clusters, evaluation, forest, isolation, reports
 from sentrel.operators import quality as q
 from sentrel.plans import view_queries  # noqa: F401  (its SQL is part of the bundle's)
 from sentrel.plans.adapters import EVENT_WINDOW_SECONDS, sec_events, table
 from sentrel.plans.end_to_end import events_to_dashboard, write_dashboard
-from sentrel.plans.file_queries import _folder
 from sentrel.plans.registry import ORACLES, query
 from sentrel.plans.sql_parts import INCIDENTS
 from sentrel.sources import events as src
@@ -241,3 +241,31 @@ def benign_sample_limited(spark, sf_dir):
     return first.join(same, F.col("row_id") == F.col("other")).agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("Label") == "BENIGN").alias("n_benign"), F.count_distinct("row_id").alias("n_ids")
     )
+
+
+@query(
+    "alert_rates",
+    f"""WITH k AS (SELECT {CLASS_LIST}[list_position({KIND_LIST}, event_type)] AS actual,
+    {CLASS_LIST}[CASE WHEN event_id % 9 = 0 THEN 1 + event_id % 5 ELSE list_position({KIND_LIST}, event_type) END] AS predicted,
+    user_id % 12 AS device, epoch_us(ts) // 3600000000 AS hour FROM events),
+h AS (SELECT count(*) AS n FROM (SELECT DISTINCT device, hour FROM k)),
+c AS (SELECT unnest({CLASS_LIST}[2:]) AS class)
+SELECT class, count(*) FILTER (predicted = class) AS n_alerts,
+  count(*) FILTER (predicted = class AND actual <> class) AS n_false,
+  count(*) FILTER (actual = class AND predicted <> class) AS n_missed, any_value(h.n) AS device_hours,
+  round(count(*) FILTER (predicted = class AND actual <> class) / any_value(h.n)::DOUBLE, 9) AS false_per_device_hour
+FROM c, k, h GROUP BY class""",
+)
+def alert_rates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    names = F.array(*[F.lit(x) for x in CLASSES])
+    c = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type"))
+    guess = F.when(F.col("event_id") % 9 == 0, 1 + F.col("event_id") % 5).otherwise(c)
+    rated = e.select(
+        F.get(names, (c - 1).cast("int")).alias("actual"),
+        F.get(names, (guess - 1).cast("int")).alias("predicted"),
+        (F.col("user_id") % 12).alias("device"),
+        F.unix_micros("ts").alias("ts_us"),
+    )
+    rates = evaluation.alert_rates(rated, "device", "ts_us")
+    return rates.withColumn("false_per_device_hour", F.round("false_per_device_hour", 9))

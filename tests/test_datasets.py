@@ -151,3 +151,28 @@ def test_a_payload_of_most_records_is_one_accepted_record(spark):
     plain = spark.range(5000).select("id", F.when(F.col("id") % 50 > 0, "same").otherwise(F.col("id").cast("string")).alias("payload"))
     (row,) = accounting.dispositions(accounting.dispose(plain, [], "payload", "id").withColumn("s", F.lit(1)), "s").collect()
     assert (row.n_input, row.n_accepted, row.n_duplicate) == (5000, 101, 4899)
+
+
+def test_alert_rates_count_wrong_alerts_per_device_hour(spark):
+    from sentrel.operators.evaluation import alert_rates
+
+    hour = 3_600_000_000
+    rows = [
+        ("BENIGN", "DOS", "a", 0), ("DOS", "DOS", "a", 1), ("DOS", "BENIGN", "a", hour), (None, "BOT", "b", 0),
+        ("BOT", None, None, 5), ("BENIGN", "DOS", "b", None),
+    ]
+    df = spark.createDataFrame(rows, "actual string, predicted string, device string, us long")
+    got = {r["class"]: (r.n_alerts, r.n_false, r.n_missed, r.device_hours) for r in alert_rates(df, "device", "us").collect()}
+    assert got == {"DOS": (3, 2, 1, 3), "BOT": (1, 1, 1, 3)}
+    assert alert_rates(df.limit(0), "device", "us").count() == 0
+
+
+def test_files_without_a_feature_are_reported(spark):
+    from sentrel.operators.quality import route_files
+
+    rows = [("x", 1, None), ("x", None, None), ("y", 1, 2), (None, None, 3)]
+    df = spark.createDataFrame(rows, "file string, a int, b int")
+    got = {r.file: (r.n_rows, r.missing, r.usable) for r in route_files(df, ["a", "b"]).collect()}
+    assert got == {"x": (2, ["b"], False), "y": (1, [], True), None: (1, ["a"], False)}
+    assert all(r.missing[-1] == "gone" for r in route_files(df, ["a", "gone"]).collect())
+    assert route_files(df.limit(0), ["a"]).count() == 0
