@@ -1,16 +1,15 @@
 """What became of every input record: accepted, rejected, duplicate or unresolved.
 
-Rules are versioned and tried in order; the first that a record breaks decides. Counts are taken in the
-same pass that writes the records and must add up to the input, or the import fails.
+Rules are versioned and tried in order; the first that a record breaks decides. Counts are taken from
+what was written and must add up to the input, or the import fails.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCEPTED, REJECTED, DUPLICATE, UNRESOLVED = "ACCEPTED", "REJECTED", "DUPLICATE", "UNRESOLVED"
@@ -124,14 +123,16 @@ def reconcile(counts: dict[str, int], expected: int) -> dict[str, int]:
     return counts
 
 
-def write_accounted(disposed: DataFrame, path: str, expected: int, mode: str = "errorifexists") -> dict[str, int]:
-    """Write the records under ``path`` by disposition and return the counts taken while writing.
+def write_accounted(disposed: DataFrame, path: str, expected: int, overwrite: bool = False) -> dict[str, int]:
+    """Write the records under ``path`` by disposition and return the counts of what was written.
 
-    Raises ``Unreconciled`` if they do not add up to ``expected``, the number of records of the input as
-    its source counts them (an accepted batch's size, lines of a file).
+    The counts come from the files' footers, so they are of the rows that are there. Raises
+    ``Unreconciled`` if they do not add up to ``expected``, the number of records of the input as its
+    source counts them (an accepted batch's size, lines of a file), or if a record has no disposition
+    of the four.
     """
-    seen = Observation(f"accounting-{uuid.uuid4().hex}")
-    counts = [F.count_if(F.col("disposition") == d).alias(d) for d in DISPOSITIONS]
-    observed = disposed.observe(seen, F.count(F.lit(1)).alias("input"), *counts)
-    observed.write.partitionBy("disposition").mode(mode).parquet(path)
-    return reconcile(seen.get, expected)
+    disposed.write.partitionBy("disposition").mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    written = disposed.sparkSession.read.schema(disposed.schema).parquet(path)
+    found = {r["disposition"]: r["count"] for r in written.groupBy("disposition").count().collect()}
+    counts = {"input": sum(found.values())} | {d: found.get(d, 0) for d in DISPOSITIONS}
+    return reconcile(counts, expected)

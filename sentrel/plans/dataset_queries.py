@@ -187,7 +187,7 @@ def record_quarantine(spark, sf_dir):
     f"WITH {RAW} SELECT record_id, payload_sha256, disposition FROM di",
 )
 def file_accounted(spark, sf_dir):
-    """Records written by disposition, their counts taken on the way and reconciled."""
+    """Records written by disposition, counted and reconciled with the input."""
     path = _folder(spark, "accounted")
     accounting.write_accounted(_disposed(spark, sf_dir), path, table(spark, sf_dir, "events").count())
     return spark.read.parquet(path).select("record_id", "payload_sha256", "disposition")
