@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sentrel.functions import fixed
 from sentrel.functions.scalars import host_id
 from sentrel.functions.staging import materialise
-from sentrel.operators.windows import Criterion, first_windows, window_members
+from sentrel.operators.windows import Criterion, first_window_events
 
 INCIDENT_COLUMNS = [
     "incident_id",
@@ -65,20 +65,13 @@ def evidence_port(events: DataFrame) -> Column:
 
 
 def _recon(rows, window_seconds, min_ports, min_destinations):
-    """Starts and member rows of the first qualifying window of each source.
+    """Member rows of the first qualifying window of each source.
 
     Three events are asked for too; that many are implied as every event carries one
     port and one destination.
     """
-    width = window_seconds * 1_000_000
-    starts = first_windows(
-        rows,
-        ["src"],
-        "ts_us",
-        width,
-        [Criterion("port", min_ports), Criterion("destination", min_destinations)],
-    )
-    return window_members(rows, starts, ["src"], "ts_us", width)
+    rules = [Criterion("port", min_ports), Criterion("destination", min_destinations)]
+    return first_window_events(rows, ["src"], "ts_us", window_seconds * 1_000_000, rules)
 
 
 def recon_members(
@@ -173,8 +166,7 @@ def chain_window(
     rows = suspicious_or_unknown(events).select("src", "ts_us", "seq", "event_id", "type")
     width = window_seconds * 1_000_000
     rule = Criterion("type", min_behaviours, min_repeats, small_domain=True)
-    starts = first_windows(rows, ["src"], "ts_us", width, [rule])
-    members = window_members(rows, starts, ["src"], "ts_us", width)
+    members = first_window_events(rows, ["src"], "ts_us", width, [rule])
     return members.withColumn("incident_id", host_id("INC-", "src", "-CHAIN"))
 
 

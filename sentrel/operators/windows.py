@@ -34,60 +34,62 @@ class Criterion:
     small_domain: bool = False
 
 
-def _single_edges(ev: DataFrame, keys: list[str], criteria: dict[int, Criterion]):
-    """Latest and earliest values per slice; ``crit`` -1 stands for the slice's last event.
+def _single_edges(ev: DataFrame, keys: list[str], criteria: dict[int, Criterion]) -> DataFrame:
+    """Last (``l``) and first (``r``, counted to the slice before) times of values per slice;
+    ``crit`` -1 stands for the slice's last event.
 
-    One pass with map-side aggregation. Both results use all columns of the aggregate, so the
-    two branches share its shuffle.
+    One pass with map-side aggregation, then one ranking that keeps the 2T - 1 earliest values of a
+    slice when T are needed. A slice with T values or more qualifies from its start, whichever of
+    them are kept; one with fewer keeps them all, and T of the next slice's are not among them.
     """
     choices = [F.struct(F.lit(-1).alias("crit"), F.lit(None).cast("string").alias("val"))]
     for n, c in criteria.items():
         choices.append(F.struct(F.lit(n).alias("crit"), F.col(c.value).cast("string").alias("val")))
-    seen = (
+    most = max([c.min_values for c in criteria.values()], default=1)
+    rank = F.row_number().over(Window.partitionBy(*keys, "slice", "crit").orderBy("lo", "hi", "val"))
+    none = F.lit(None).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("slice").alias("at"), F.col("hi").alias("l"), none.alias("r")),
+        F.struct((F.col("slice") - 1).alias("at"), none.alias("l"), F.col("lo").alias("r")),
+    )
+    return (
         ev.select(*keys, "slice", "t", F.inline(F.array(*choices)))
         .where((F.col("crit") == -1) | F.col("val").isNotNull())
         .groupBy(*keys, "slice", "crit", "val")
         .agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+        .withColumn("rk", rank)
+        .where(F.col("rk") <= 2 * most - 1)
+        .select(*keys, "crit", "val", F.inline(sides))
+        .select(*keys, F.col("at").alias("slice"), "crit", "val", F.lit(1).alias("rk"), "l", "r")
     )
-    # With T values needed, only the T latest values of a slice and the 2T - 1 earliest of the
-    # next one can decide where coverage first reaches T.
-    most = max([c.min_values for c in criteria.values()], default=1)
-    part = Window.partitionBy(*keys, "slice", "crit")
-
-    def cut(time, order, keep):
-        rank = F.row_number().over(part.orderBy(*order, "val"))
-        kept = seen.withColumn("rk", rank).where(F.col("rk") <= keep)
-        return kept.select(
-            *keys, "slice", "crit", "val", F.lit(1).alias("rk"), F.col(time).alias("t")
-        )
-
-    latest = cut("hi", [F.col("hi").desc(), F.col("lo")], most)
-    return latest, cut("lo", [F.col("lo"), F.col("hi")], 2 * most - 1)
 
 
 def _repeat_edges(ev: DataFrame, keys: list[str], n: int, crit: Criterion):
-    """Last and first ``repeats`` times of each value of a closed vocabulary per slice."""
+    """Last and first ``repeats`` times of each value of a closed vocabulary per slice, as above."""
     rows = ev.where(F.col(crit.value).isNotNull()).select(
         *keys, "slice", F.lit(n).alias("crit"), F.col(crit.value).cast("string").alias("val"), "t"
     )
     part = Window.partitionBy(*keys, "slice", "val")
 
-    def cut(order):
+    def cut(order, slice_, left, right):
         rank = F.row_number().over(part.orderBy(order))
-        return rows.withColumn("rk", rank).where(F.col("rk") <= crit.repeats)
+        kept = rows.withColumn("rk", rank).where(F.col("rk") <= crit.repeats)
+        return kept.select(*keys, slice_.alias("slice"), "crit", "val", "rk", left.alias("l"), right.alias("r"))
 
-    return cut(F.col("t").desc()), cut(F.col("t"))
+    t, none = F.col("t"), F.lit(None).cast("bigint")
+    return cut(t.desc(), F.col("slice"), t, none).union(cut(t, F.col("slice") - 1, none, t))
 
 
-def _ranges(repeats: int, width: int) -> Column:
-    """Disjoint ranges of start instants for which a value is seen ``repeats`` times.
+def _marks(repeats: int, width: int) -> list[tuple[Column, int]]:
+    """Where the ranges of start instants for which a value is seen ``repeats`` times begin (1) and
+    have ended (-1); null for ranges that do not exist or last to the end of the slice.
 
     Reads ``l1, l2, ...``, its latest times in the slice, and ``r1, r2, ...``, its earliest in
-    the next one.
+    the next one. The ranges are disjoint.
     """
     first = F.col("slice") * width
     final = first + (width - 1)
-    ranges, covered = [], F.lit(None).cast("bigint")
+    marks, covered = [], F.lit(None).cast("bigint")
     for i in range(repeats + 1):  # i occurrences in the next slice, the others in this one
         own = repeats - i
         lo = F.greatest(F.col(f"r{i}") - width, first, covered + 1) if i else first
@@ -95,48 +97,35 @@ def _ranges(repeats: int, width: int) -> Column:
         exists = lo <= hi
         if i:
             exists = exists & F.col(f"r{i}").isNotNull()
-        ranges.append(F.when(exists, F.struct(lo.alias("lo"), hi.alias("hi"))))
+        marks += [(F.when(exists, lo), 1), (F.when(exists & (hi < final), hi + 1), -1)]
         covered = F.greatest(covered, F.when(exists, hi))
-    return F.array_compact(F.array(*ranges))
+    return marks
 
 
-def first_windows(
-    events: DataFrame,
-    keys: Sequence[str],
-    ts_us: str,
-    window_us: int,
-    criteria: Sequence[Criterion],
-) -> DataFrame:
-    """Per key, the first event instant ``s`` whose window [s, s + window] meets a criterion.
+def _cut(events: DataFrame, ts_us: str, window_us: int) -> DataFrame:
+    """Events with their instant as ``t`` and its ``slice`` of one window length."""
+    rows = events.where(F.col(ts_us).isNotNull())
+    return rows.withColumn("t", F.col(ts_us)).withColumn("slice", bucket_of("t", window_us))
 
-    Returns ``keys, start_us, end_us``. Windows start at events; any one criterion suffices.
-    """
-    keys = list(keys)
+
+def _points(
+    events: DataFrame, keys: list[str], ts_us: str, window_us: int, criteria: Sequence[Criterion]
+) -> DataFrame:
+    """Per key, the first instant ``p`` from which on the next event starts a window that qualifies,
+    and the ``slice`` that holds both."""
     for crit in criteria:
         if crit.repeats > 1 and not crit.small_domain:
             raise ValueError("repeated values need a closed vocabulary (small_domain=True)")
-    values = sorted({c.value for c in criteria})
-    ev = (
-        events.where(F.col(ts_us).isNotNull())
-        .select(*keys, F.col(ts_us).alias("t"), *values)
-        .withColumn("slice", bucket_of("t", window_us))
-    )
+    ev = _cut(events, ts_us, window_us).select(*keys, "t", "slice", *sorted({c.value for c in criteria}))
     single = {n: c for n, c in enumerate(criteria) if c.repeats == 1}
     edges = [_single_edges(ev, keys, single)]
     edges += [_repeat_edges(ev, keys, n, c) for n, c in enumerate(criteria) if n not in single]
-    none = F.lit(None).cast("bigint")
-    cols = [*keys, "slice", "crit", "val"]
-    sides = []
-    for latest, earliest in edges:
-        sides.append(latest.select(*cols, "rk", F.col("t").alias("l"), none.alias("r")))
-        before = earliest.withColumn("slice", F.col("slice") - 1)
-        sides.append(before.select(*cols, "rk", none.alias("l"), F.col("t").alias("r")))
     # From here on a (key, slice) has a bounded number of rows, so one shuffle on it serves the
     # grouping by value and the sweep.
     values = (
-        reduce(DataFrame.union, sides)
+        reduce(DataFrame.union, edges)
         .repartition(*keys, "slice")
-        .groupBy(*cols)
+        .groupBy(*keys, "slice", "crit", "val")
         .agg(
             *[
                 F.max(F.when(F.col("rk") == i, F.col(side))).alias(f"{side}{i}")
@@ -145,22 +134,18 @@ def first_windows(
             ]
         )
     )
-    ranges = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    for n, crit in enumerate(criteria):
-        ranges = F.when(F.col("crit") == n, _ranges(crit.repeats, window_us)).otherwise(ranges)
-    mark = "struct<p:bigint,d:int>"
-    bounds = F.concat(
-        F.transform("g", lambda x: F.struct(x["lo"].alias("p"), F.lit(1).alias("d")).cast(mark)),
-        F.transform("g", lambda x: F.struct((x["hi"] + 1).alias("p"), F.lit(-1).alias("d")).cast(mark)),
-        # The last event of a slice tells whether a range without an own event holds a start.
-        F.array(F.struct((F.col("slice") * window_us).alias("p"), F.lit(0).alias("d")).cast(mark)),
-    )
-    sweep = (
-        values.withColumn("g", ranges)
-        .withColumn("last_t", F.when(F.col("crit") == -1, F.col("l1")))
-        .select(*keys, "slice", "crit", "last_t", F.inline(bounds))
-    )
+    # Most slices do not have enough values, so nothing of them is swept.
     part = Window.partitionBy(*keys, "slice")
+    enough = [F.count_if(F.col("crit") == n).over(part) >= c.min_values for n, c in enumerate(criteria)]
+    values = values.withColumn("enough", reduce(lambda a, b: a | b, enough)).where("enough")
+    # The last event of a slice tells whether a range without an own event holds a start.
+    bounds = [F.struct(F.when(F.col("crit") == -1, F.col("slice") * window_us).alias("p"), F.lit(0).alias("d"))]
+    for repeats in sorted({c.repeats for c in criteria}):
+        mine = F.col("crit").isin([n for n, c in enumerate(criteria) if c.repeats == repeats])
+        bounds += [F.struct(F.when(mine, p).alias("p"), F.lit(d).alias("d")) for p, d in _marks(repeats, window_us)]
+    sweep = values.select(
+        *keys, "slice", "crit", F.when(F.col("crit") == -1, F.col("l1")).alias("last_t"), F.inline(F.array(*bounds))
+    ).where(F.col("p").isNotNull())
     met = F.lit(False)
     for n, crit in enumerate(criteria):
         # Coverage counts the values that a start instant satisfies.
@@ -168,7 +153,7 @@ def first_windows(
         met = met | (F.coalesce(cover, F.lit(0)) >= crit.min_values)
     # One row per key. Written out, its size is known, so the joins with all events broadcast it
     # while it is small and shuffle otherwise.
-    points = materialise(
+    return materialise(
         sweep.withColumn("met", met)
         .withColumn("last_t", F.max("last_t").over(part))
         .where(F.col("met") & (F.col("p") <= F.col("last_t")))
@@ -176,29 +161,51 @@ def first_windows(
         .agg(F.min("p").alias("p"))
         .withColumn("slice", bucket_of("p", window_us))
     )
-    return materialise(
-        ev.select(*keys, "slice", "t")
-        .join(points, [*keys, "slice"])
-        .where(F.col("t") >= F.col("p"))
-        .groupBy(*keys)
-        .agg(F.min("t").alias("start_us"))
-        .withColumn("end_us", F.col("start_us") + window_us)
-    )
 
 
-def window_members(
-    events: DataFrame, starts: DataFrame, keys: Sequence[str], ts_us: str, window_us: int
+def _starts(rows: DataFrame, keys: list[str], window_us: int) -> DataFrame:
+    """The first instant of each key in ``rows``, and the end of its window."""
+    starts = rows.groupBy(*keys).agg(F.min("t").alias("start_us"))
+    return starts.withColumn("end_us", F.col("start_us") + window_us)
+
+
+def first_windows(
+    events: DataFrame,
+    keys: Sequence[str],
+    ts_us: str,
+    window_us: int,
+    criteria: Sequence[Criterion],
 ) -> DataFrame:
-    """Events inside their key's window; joined on (key, slice), so a hot key is spread out."""
+    """Per key, the first event instant ``s`` whose window [s, s + window] meets a criterion.
+
+    Returns ``keys, start_us, end_us``. Windows start at events; any one criterion suffices.
+    """
     keys = list(keys)
-    j = bucket_of("start_us", window_us)
-    spans = starts.withColumn("slice", F.explode(F.array(j, j + 1)))
-    return (
-        events.withColumn("slice", bucket_of(ts_us, window_us))
-        .join(spans, [*keys, "slice"])
-        .where(F.col(ts_us).between(F.col("start_us"), F.col("end_us")))
-        .drop("slice")
+    points = _points(events, keys, ts_us, window_us, criteria)
+    ahead = _cut(events, ts_us, window_us).select(*keys, "slice", "t").join(points, [*keys, "slice"])
+    return materialise(_starts(ahead.where(F.col("t") >= F.col("p")), keys, window_us))
+
+
+def first_window_events(
+    events: DataFrame,
+    keys: Sequence[str],
+    ts_us: str,
+    window_us: int,
+    criteria: Sequence[Criterion],
+) -> DataFrame:
+    """The events inside their key's first window (see ``first_windows``), with ``start_us, end_us``.
+
+    One pass over the events after the search, joined on (key, slice), so a hot key is spread out:
+    it leaves each key's events of two slices from the point on, whose first one is the start.
+    """
+    keys = list(keys)
+    points = _points(events, keys, ts_us, window_us, criteria)
+    spans = points.withColumn("slice", F.explode(F.array("slice", F.col("slice") + 1)))
+    ahead = materialise(
+        _cut(events, ts_us, window_us).join(spans, [*keys, "slice"]).where(F.col("t") >= F.col("p"))
     )
+    inside = ahead.join(_starts(ahead, keys, window_us), keys).where(F.col("t") <= F.col("end_us"))
+    return inside.drop("t", "slice", "p")
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

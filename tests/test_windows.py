@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentrel.operators import incidents as inc
-from sentrel.operators.windows import Criterion, first_windows, numbered, prefix_max, quantiles
+from sentrel.operators.windows import Criterion, first_window_events, first_windows, numbered, prefix_max, quantiles
 
 SECOND = 1_000_000
 
@@ -61,6 +61,33 @@ def test_recon_equals_loop(spark, seed):
     assert got == brute_recon(kept)
 
 
+def test_many_values_in_a_slice(spark):
+    """More values than are kept of a slice, in bursts around slice borders; ties in time."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(60):
+        for _ in range(rng.randrange(1, 5)):
+            middle, spread = rng.randrange(60), rng.choice([0, 1, 4, 9])
+            rows += [
+                (f"k{k}", middle + rng.randint(-spread, spread), rng.choice([None, *map(str, range(30))]))
+                for _ in range(rng.randrange(1, 25))
+            ]
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = [(t, v) for key, t, v in rows if key == k]
+        for t in sorted({t for t, _ in mine}):
+            inside = [v for u, v in mine if t <= u <= t + 10]
+            if len({v for v in inside if v is not None}) >= 4:
+                want[k] = (t, len(inside))
+                break
+    df = spark.createDataFrame(rows, "k string, t bigint, v string")
+    starts = {r["k"]: r["start_us"] for r in first_windows(df, ["k"], "t", 10, [Criterion("v", 4)]).collect()}
+    members = first_window_events(df, ["k"], "t", 10, [Criterion("v", 4)])
+    got = {r["k"]: (r["start_us"], r["count"]) for r in members.groupBy("k", "start_us").count().collect()}
+    assert got == want and starts == {k: t for k, (t, _) in want.items()}
+    assert 5 < len(want) < 60
+
+
 def brute_chain(rows, window=60, repeats=2, behaviours=2):
     found = {}
     for src in {r[2] for r in rows}:
