@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
@@ -14,15 +16,41 @@ from sentrel.operators.telemetry import fresh, is_number, json_type, strict_json
 from sentrel.operators.windows import prefix_max
 
 
-def _chain_ends(times: np.ndarray, gap: int) -> np.ndarray:
-    """For every start in sorted ``times``, the last pick of the greedy chain from there."""
+def _chain_ends(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every start in sorted ``times``: the last pick of the greedy chain from there, and how
+    many picks it has."""
     n = len(times)
     jump = np.append(np.searchsorted(times, times + gap, "left"), n)
-    last = np.arange(n + 1)
+    last, picks = np.arange(n + 1), np.append(np.ones(n, np.int64), 0)
     while (jump[:n] < n).any():
         last = np.where(jump < n, last[jump], last)
+        picks = picks + picks[jump]
         jump = jump[jump]
-    return last[:n]
+    return last[:n], picks[:n]
+
+
+def _steps(entries: np.ndarray, exits: np.ndarray, picks: np.ndarray) -> dict:
+    """A step function without the entries that share the outcome of the next one."""
+    keep = np.append((exits[1:] != exits[:-1]) | (picks[1:] != picks[:-1]), True)
+    return {"entries": [entries[keep].tolist()], "exits": [exits[keep].tolist()], "picks": [picks[keep].tolist()]}
+
+
+def _follow(functions: pd.DataFrame, ready: np.ndarray, gap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """State (instant from which on a sample counts, picks so far) before each of the step functions,
+    and after the last, for several instants ``ready`` at once."""
+    ready, count = ready.copy(), np.zeros(len(ready), np.int64)
+    for entries, exits, picks in zip(functions["entries"], functions["exits"], functions["picks"], strict=True):
+        yield ready.copy(), count.copy()
+        at = np.searchsorted(entries, ready, "left")
+        hit = np.flatnonzero(at < len(entries))
+        ready[hit] = np.asarray(exits)[at[hit]] + gap
+        count[hit] += np.asarray(picks)[at[hit]]
+    yield ready, count
+
+
+STEPS = "entries array<bigint>, exits array<bigint>, picks array<bigint>"
+#: Before any sample.
+START = np.iinfo(np.int64).min
 
 
 def authorise(
@@ -30,13 +58,16 @@ def authorise(
     gap_seconds: float = fixed.COMMAND_GAP_SECONDS,
     lifetime_seconds: float = fixed.COMMAND_LIFETIME_SECONDS,
     bucket_seconds: int = 60,
+    span: int = 1024,
 ) -> DataFrame:
     """Accepted samples (``controller, us, decision_id``) to commands.
 
     A sample makes a command when the controller's last command is at least ``gap`` old. That
-    greedy choice is a chain, but a bucket of time maps "first pick" to "last pick" on its
-    own: the buckets are solved in parallel, one row per bucket is chained, and each bucket
-    then lists its picks.
+    greedy choice is a chain, but a bucket of time maps "ready from" to "last pick, picks" on its
+    own, and such step functions compose: buckets are solved in parallel, ``span`` buckets are
+    composed into one function without knowing what came before, only those are followed along a
+    controller (about one row in 17 hours), and spans and then buckets list what they pick, already
+    numbered. A composed function has at most one step more than the first of its parts.
     """
     gap = int(gap_seconds * 1_000_000)
     width = int(bucket_seconds * 1_000_000)
@@ -51,38 +82,49 @@ def authorise(
 
     def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(rows["us"].to_numpy())
-        ends = t[_chain_ends(t, gap)]
+        last, picks = _chain_ends(t, gap)
         # Only a first pick within one gap of the bucket's start, or the first one after it,
-        # can be asked for; equal outcomes are merged into steps.
+        # can be asked for.
         head = int(np.searchsorted(t, key[1] * width + gap, "left")) + 1
-        entry, exit_ = t[:head], ends[:head]
-        keep = np.append(exit_[1:] != exit_[:-1], True)
         return pd.DataFrame(
-            {
-                "controller": [key[0]],
-                "bucket": [key[1]],
-                "entries": [entry[keep].tolist()],
-                "exits": [exit_[keep].tolist()],
-            }
+            {"controller": [key[0]], "bucket": [key[1]], **_steps(t[:head], t[last[:head]], picks[:head])}
         )
 
     steps = instants.select("controller", "bucket", "us").groupBy("controller", "bucket").applyInPandas(
-        solve, "controller string, bucket bigint, entries array<bigint>, exits array<bigint>"
+        solve, f"controller string, bucket bigint, {STEPS}"
     )
+    # Composed, and then followed from what came before: written once.
+    steps = materialise(steps.withColumn("span", bucket_of("bucket", span)))
 
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bucket")
-        ready, out = np.iinfo(np.int64).min, []
-        for entries, exits in zip(rows["entries"], rows["exits"]):
-            out.append(ready)
-            i = int(np.searchsorted(entries, ready, "left"))
-            if i < len(entries):
-                ready = int(exits[i]) + gap
-        return pd.DataFrame({"controller": key[0], "bucket": rows["bucket"], "ready": out})
-
-    # One row per time bucket and controller.
-    ready = steps.groupBy("controller").applyInPandas(
-        walk, "controller string, bucket bigint, ready bigint"
+        # Who is ready after the first bucket's samples is so before the second one's.
+        second = rows["entries"].iloc[1][:1] if len(rows) > 1 else []
+        entries = np.concatenate([rows["entries"].iloc[0], second]).astype(np.int64)
+        *_, (ready, count) = _follow(rows, entries, gap)
+        return pd.DataFrame({"controller": [key[0]], "span": [key[1]], **_steps(entries, ready - gap, count)})
+
+    def enter(order: str, columns: list[str]):
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(order)
+            ready, before = (
+                (rows["ready"].iloc[0], rows["before"].iloc[0]) if "ready" in rows.columns else (START, 0)
+            )
+            states = list(_follow(rows, np.array([ready], np.int64), gap))[:-1]
+            return rows[columns].assign(ready=[int(r[0]) for r, _ in states], before=[int(n[0] + before) for _, n in states])
+
+        return run
+
+    spans = steps.groupBy("controller", "span").applyInPandas(compose, f"controller string, span bigint, {STEPS}")
+    entered = spans.groupBy("controller").applyInPandas(
+        enter("span", ["controller", "span"]), "controller string, span bigint, ready bigint, before bigint"
+    )
+    ready = (
+        steps.join(entered, ["controller", "span"])
+        .groupBy("controller", "span")
+        .applyInPandas(
+            enter("bucket", ["controller", "bucket"]), "controller string, bucket bigint, ready bigint, before bigint"
+        )
     )
 
     def pick(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -92,19 +134,18 @@ def authorise(
         while (i := int(np.searchsorted(t, due, "left"))) < len(t):
             chosen.append(i)
             due = int(t[i]) + gap
-        return rows.iloc[chosen][["controller", "us", "decision_id"]]
+        sequence = int(rows["before"].iloc[0]) + 1 + np.arange(len(chosen))
+        return rows.iloc[chosen][["controller", "us", "decision_id"]].assign(sequence=sequence)
 
     issued = (
         instants.join(ready, ["controller", "bucket"])
         .groupBy("controller", "bucket")
-        .applyInPandas(pick, "controller string, us bigint, decision_id bigint")
+        .applyInPandas(pick, "controller string, us bigint, decision_id bigint, sequence bigint")
     )
-    # The throttle itself bounds the rows per controller: one per gap.
-    order = Window.partitionBy("controller").orderBy("us")
     commands = issued.select(
         "controller",
         F.md5(F.concat_ws("|", "controller", F.col("us").cast("string"))).alias("command_id"),
-        F.row_number().over(order).cast("bigint").alias("sequence"),
+        "sequence",
         F.col("decision_id").alias("sensor_decision_id"),
         F.col("us").alias("issued_us"),
         (F.col("us") + int(lifetime_seconds * 1_000_000)).alias("expires_us"),

@@ -42,7 +42,24 @@ def test_throttle_equals_loop(spark, seed):
     rng = random.Random(seed)
     times = [rng.randrange(40_000) / 10 for _ in range(600)] + [9000, 9001, 9016]
     got = cmd.authorise(samples(spark, times), bucket_seconds=rng.choice([15, 60, 600])).collect()
-    assert sorted(r["issued_us"] for r in got) == greedy([round(t * S) for t in times], 15 * S)
+    want = greedy([round(t * S) for t in times], 15 * S)
+    assert sorted((r["sequence"], r["issued_us"]) for r in got) == list(enumerate(want, 1))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_throttle_over_spans(spark, seed):
+    """Spans of few buckets, empty buckets, samples just before and after a bucket's start, two controllers."""
+    rng = random.Random(seed)
+    times = {}
+    for name in ("a", "b"):
+        borders = [15 * rng.randrange(200) + rng.choice([-1, -0.5, 0, 0.5, 1, 7, 14]) for _ in range(150)]
+        times[name] = [round(t * S) for t in borders + [rng.randrange(-300, 3000) for _ in range(rng.choice([20, 600]))]]
+    rows = [(name, t, i) for name, ts in times.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "controller string, us bigint, decision_id bigint")
+    got = cmd.authorise(df, bucket_seconds=15, span=rng.choice([2, 3, 16])).collect()
+    for name, ts in times.items():
+        mine = sorted((r["sequence"], r["issued_us"]) for r in got if r["controller"] == name)
+        assert mine == list(enumerate(greedy(ts, 15 * S), 1))
 
 
 def request(kind, seq, at, device="m", stamp=None, **extra):
