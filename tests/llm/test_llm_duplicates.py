@@ -31,7 +31,7 @@ def _classes(links, ids):
     return {i: find(i) for i in ids}
 
 
-def _weighted(texts):
+def _weighted(texts, least=0.8):
     """Linked pairs of ids by the definition, over exact document frequencies."""
     sets, df = {}, Counter()
     for i, text in texts.items():
@@ -39,7 +39,7 @@ def _weighted(texts):
         sets[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
         df.update(sets[i].keys())
     n = len(texts)
-    idf = {s: 1 + math.log((1 + n) / (1 + c)) / math.log(2 + n) for s, c in df.items()}
+    idf = {s: 1 + 0.1 * math.log((1 + n) / (1 + c)) / math.log(2 + n) for s, c in df.items()}
     total = {i: sum(c * idf[s] for s, c in g.items()) for i, g in sets.items()}
     have = defaultdict(list)
     for i, g in sets.items():
@@ -49,7 +49,7 @@ def _weighted(texts):
     for a, b in {p for owners in have.values() for p in combinations(owners, 2)}:
         common = sum(min(c, sets[b][s]) * idf[s] for s, c in sets[a].items() if s in sets[b])
         union = total[a] + total[b] - common
-        if not union or common / union >= 0.8:
+        if not union or common / union >= least:
             links.add((a, b))
     return links
 
@@ -83,6 +83,28 @@ def test_minhash_chains_groups_and_edges(spark, docs_of):
     assert got[3001] == got[3002] == 3000 and got[3004] == 3003
 
 
+def test_minhash_around_the_threshold(spark, docs_of):
+    """Pairs of weighted similarity 0.77 to 0.83, alone and among copies of one side."""
+    rng = random.Random(11)
+    texts = {}
+    for p in range(60):
+        words = [f"p{p}w{k}" for k in range(rng.randrange(200, 400))]
+        shingles, aim = len(words) - 4, rng.uniform(0.77, 0.83)
+        changed = list(words)
+        for k in range(round(shingles * (1 - aim) / (1 + aim) / 5)):
+            changed[4 + 5 * k] = f"p{p}c{k}"
+        texts[100 * p], texts[100 * p + 1] = " ".join(words), " ".join(changed)
+        texts |= {100 * p + 2 + k: texts[100 * p] for k in range(rng.choice([0, 0, 5]))}
+    # Hashed counters move a similarity by less than 0.002.
+    near = {a // 100 for a, _ in _weighted(texts, 0.798) - _weighted(texts, 0.802)}
+    texts = {i: t for i, t in texts.items() if i // 100 not in near}
+    want = _classes(_weighted(texts), texts)
+    linked = [want[i] != i for i in texts if i % 100 == 1]
+    assert 10 < sum(linked) < len(linked) - 10
+    got = {r.doc_id: r.component_id for r in minhash.report(docs_of(list(texts.items()))).collect()}
+    assert got == want
+
+
 def test_size_of_a_group_does_not_undo_its_links(spark, docs_of):
     rng = random.Random(5)
     base = [f"b{k}" for k in range(305)]
