@@ -3,18 +3,81 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.functions import fixed
-from sentrel.functions.staging import materialise
+from sentrel.functions.staging import materialise, scratch
 from sentrel.operators import evaluation, quality
 
+#: Nodes of the trees that the driver, or a task that scores, holds at a time (about 500 bytes each).
+NODES = 250_000
+#: What a task counts in at a time while trees grow; an executor has one for each core.
+TASK_MB = 256
+
+
+@dataclass
+class PartedForest:
+    """A forest with more nodes than are held at a time: saved models of some of its trees each."""
+
+    parts: list[str]
+    labels: list[str]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        for k, part in enumerate(self.parts):
+            PipelineModel.load(part).write().save(f"{path}/{k:05d}")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PartedForest:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        parts = sorted(f.getPath().toString() for f in files)
+        return PartedForest(parts, PipelineModel.load(parts[0]).stages[-1].getLabels())
+
+    def transform(self, df: DataFrame, features: Sequence[str]) -> DataFrame:
+        """Add ``prediction`` and ``probability``, an array: the parts vote one after the other.
+
+        The rows are staged with a number, and each part's votes beside them. A stream holds all parts.
+        """
+        if df.isStreaming:
+            rows = df.withColumn("__votes", F.array())
+            for part in self.parts:
+                voted = PipelineModel.load(part).transform(rows)
+                more = F.array_append("__votes", F.struct(vector_to_array("rawPrediction").alias("v")))
+                rows = voted.select(*[f"`{c}`" for c in df.columns], more.alias("__votes"))
+            return self._counted(rows)
+        spark = df.sparkSession
+        rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+        out = scratch(spark, "votes")
+        for k, part in enumerate(self.parts):
+            voted = PipelineModel.load(part).transform(rows.select("__row", *[f"`{c}`" for c in features]))
+            voted.select("__row", vector_to_array("rawPrediction").alias("v")).write.parquet(f"{out}/part={k}")
+        votes = spark.read.schema("__row bigint, v array<double>, part int").parquet(out)
+        # In the order of the parts, so that reruns add up to the same bits.
+        whole = votes.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("part", "v"))).alias("__votes"))
+        return self._counted(rows.join(whole, "__row")).drop("__row")
+
+    def _counted(self, rows: DataFrame) -> DataFrame:
+        none = F.array(*[F.lit(0.0) for _ in self.labels])
+        total = F.aggregate("__votes", none, lambda s, p: F.zip_with(s, p["v"], lambda a, b: a + b))
+        names = F.array(*[F.lit(name) for name in self.labels])
+        most = F.array_position("total", F.array_max("total")).cast("int")
+        every = F.aggregate("total", F.lit(0.0), lambda s, v: s + v)
+        return (
+            rows.withColumn("total", total)
+            .withColumn("prediction", F.element_at(names, most))
+            .withColumn("probability", F.transform("total", lambda v: v / every))
+            .drop("__votes", "total")
+        )
+
 
 def train_forest(
     train: DataFrame,
@@ -23,42 +86,83 @@ def train_forest(
     trees: int = fixed.TREES,
     depth: int = fixed.TREE_DEPTH,
     seed: int = fixed.SEED,
-) -> PipelineModel:
-    """Forest with balanced class weights; missing and infinite features count as 0."""
+    nodes: int = NODES,
+) -> PipelineModel | PartedForest:
+    """Forest with balanced class weights; missing and infinite features count as 0.
+
+    Trees that may have more than ``nodes`` nodes together are grown and saved some at a time, each
+    part with a seed of its own, so neither the driver nor a task holds the forest. The smallest part
+    is one tree.
+    """
     # One row per class; written out, so that the planner sees how small it is.
-    weights = materialise(
+    counts = materialise(
         quality.class_weights(train, label).select(
-            F.col("label").alias(label), F.col("weight").alias("class_weight")
+            F.col("label").alias(label), "n", F.col("weight").alias("class_weight")
         )
     )
+    weights = counts.drop("n")
     rows = quality.model_input(train.select(label, *[f"`{c}`" for c in features]), features)
     indexer = StringIndexer(inputCol=label, outputCol="class_index", stringOrderType="alphabetAsc")
     names = indexer.fit(rows)
-    stages = [
-        names,
-        VectorAssembler(inputCols=list(features), outputCol="features"),
-        RandomForestClassifier(
-            labelCol="class_index",
-            featuresCol="features",
-            weightCol="class_weight",
-            predictionCol="class_prediction",
-            numTrees=trees,
-            maxDepth=depth,
-            seed=seed,
-            maxMemoryInMB=1024,
-        ),
-        IndexToString(
-            inputCol="class_prediction", outputCol="prediction", labels=names.labels
-        ),
-    ]
+    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    grower = RandomForestClassifier(
+        labelCol="class_index",
+        featuresCol="features",
+        weightCol="class_weight",
+        predictionCol="class_prediction",
+        numTrees=trees,
+        maxDepth=depth,
+        seed=seed,
+        maxMemoryInMB=TASK_MB,
+        # Else each task of each pass gets the trees as far as they have grown.
+        cacheNodeIds=True,
+    )
+    named = IndexToString(inputCol="class_prediction", outputCol="prediction", labels=names.labels)
     if not rows.where(F.col(label).isNull()).isEmpty():
         raise ValueError("rows without a label cannot be trained on")
-    model = Pipeline(stages=stages).fit(rows.join(weights, label))
-    return PipelineModel(model.stages[1:])
+    known = rows.join(weights, label)
+    # A leaf has a row at least.
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    largest = min(2 * total, 2 ** (depth + 1))
+    if trees * largest <= nodes:
+        model = Pipeline(stages=[names, assembler, grower, named]).fit(known)
+        return PipelineModel(model.stages[1:])
+    return _train_parts(known, names, assembler, grower, named, nodes, largest)
+
+
+def _train_parts(
+    known: DataFrame,
+    names: StringIndexerModel,
+    assembler: VectorAssembler,
+    grower: RandomForestClassifier,
+    named: IndexToString,
+    nodes: int,
+    largest: int,
+) -> PartedForest:
+    spark, trees = known.sparkSession, grower.getNumTrees()
+    ready = materialise(
+        assembler.transform(names.transform(known)).select("class_index", "class_weight", "features")
+    )
+    # A pass counts in each partition, whatever rows it has: no more of them than run at a time.
+    ready = ready.coalesce(spark.sparkContext.defaultParallelism)
+    folder, parts, done, step = scratch(spark, "forest"), [], 0, max(1, nodes // largest)
+    # What Spark takes for more than one tree, also where a part has one.
+    chosen = "sqrt" if trees > 1 else "auto"
+    while done < trees:
+        n = min(step, trees - done)
+        some = grower.copy({grower.numTrees: n, grower.seed: grower.getSeed() + done, grower.featureSubsetStrategy: chosen})
+        fitted = some.fit(ready)
+        parts.append(f"{folder}/{len(parts):05d}")
+        PipelineModel([assembler, fitted, named]).write().save(parts[-1])
+        done += n
+        # The trees so far tell how large the next ones will be.
+        step = max(1, int(0.9 * nodes * n / fitted.totalNumNodes))
+        del fitted
+    return PartedForest(parts, names.labels)
 
 
 def classify(
-    df: DataFrame, model: PipelineModel, features: Sequence[str] = fixed.FLOW_FEATURES
+    df: DataFrame, model: PipelineModel | PartedForest, features: Sequence[str] = fixed.FLOW_FEATURES
 ) -> DataFrame:
     """Add ``prediction`` and ``confidence``, the largest class probability."""
     missing = quality.missing_features(df, features)
@@ -67,12 +171,13 @@ def classify(
     # The model sees cleaned features under their names; the input columns stay as they were.
     kept = [c for c in df.columns if c not in features]
     packed = df.select(*[f"`{c}`" for c in kept], F.struct(*[f"`{c}`" for c in features]).alias("__raw"), *[f"`{c}`" for c in features])
-    scored = model.transform(quality.model_input(packed, features))
+    ready = quality.model_input(packed, features)
+    if isinstance(model, PartedForest):
+        scored, probability = model.transform(ready, features), F.col("probability")
+    else:
+        scored, probability = model.transform(ready), vector_to_array("probability")
     return scored.select(
-        *[f"`{c}`" for c in kept],
-        "__raw.*",
-        "prediction",
-        F.array_max(vector_to_array("probability")).alias("confidence"),
+        *[f"`{c}`" for c in kept], "__raw.*", "prediction", F.array_max(probability).alias("confidence")
     )
 
 

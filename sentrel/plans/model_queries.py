@@ -42,12 +42,10 @@ def _scored(spark, sf_dir):
 
 
 def _clustered(spark, sf_dir):
-    scored, names = _scored(spark, sf_dir)
-    found = patterns.unknown_candidates(scored)
-
     def make():
+        scored, names = _scored(spark, sf_dir)
         # Vectors of 64 nearly independent dimensions lie about 11 apart once scaled.
-        kept = clusters.materialise(found)
+        kept = clusters.materialise(patterns.unknown_candidates(scored))
         return kept, patterns.cluster_candidates(kept, "row_id", names, eps=10.0)
 
     return _once(spark, sf_dir, "clusters", make)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from sentrel.functions.scalars import evaluated_once, parse_instant
 from sentrel.functions.staging import materialise
+from sentrel.operators.forest import PartedForest
 
 EVIDENCE_SCHEMA = (
     "struct<packet_count:bigint,total_bytes:bigint,flow_duration:double,packet_rate:double,"
@@ -139,9 +140,17 @@ def write_dataset(df: DataFrame, path: str, csv: bool = False) -> None:
         writer.parquet(path)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel | PartedForest, path: str) -> None:
+    if isinstance(model, PartedForest):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | PartedForest:
+    """The model in a folder; a forest in parts has no metadata of its own, its parts have."""
+    spark = SparkSession.active()
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole):
+        return PipelineModel.load(path)
+    return PartedForest.load(spark, path)

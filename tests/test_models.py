@@ -202,3 +202,45 @@ def test_cluster_means(spark):
     assert m["behavioral_signature"] == {"a": 3.0, "b": 30.0} and m["observations"] == 3
     (s,) = patterns.cluster_signatures(table(spark, x), labels, "row_id", {"a": "f0"}).collect()
     assert s["behavioral_signature"] == {"a": 1.0} and not math.isnan(s["cluster_size"])
+
+
+def test_forest_in_parts(spark, tmp_path):
+    """Trees with more nodes than are held at a time: grown, saved and asked part by part."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 300)
+    x = rng.normal(size=(300, 4)) + 4 * y[:, None]
+    df = table(spark, x, np.array(["BENIGN", "DOS", "BOT"])[y]).unionByName(
+        table(spark, x[:1], np.array(["BOT"])).withColumns({"row_id": F.lit(None).cast("bigint"), "f0": F.lit(None).cast("double")})
+    )
+    whole = forest.train_forest(df, NAMES, trees=7, depth=5)
+    assert isinstance(whole, PipelineModel)
+    model = forest.train_forest(df, NAMES, trees=7, depth=5, nodes=130)
+    assert isinstance(model, forest.PartedForest) and len(model.parts) > 1
+    parts = [PipelineModel.load(p).stages[1] for p in model.parts]
+    assert sum(p.getNumTrees for p in parts) == 7
+    assert all(p.getNumTrees == 1 or p.totalNumNodes <= 130 for p in parts)
+    assert len({t.toDebugString.split("\n", 1)[1] for p in parts for t in p.trees}) > 4
+    rated = forest.classify(df, model, NAMES)
+    assert rated.columns == forest.classify(df, whole, NAMES).columns
+    # The parts' votes, tree by tree, make what the trees say together.
+    want = 0
+    for p in model.parts:
+        votes = PipelineModel.load(p).transform(quality.model_input(df, NAMES).orderBy("row_id")).toPandas()
+        want = want + np.stack([v.toArray() for v in votes["rawPrediction"]])
+    got = rated.orderBy("row_id").toPandas()
+    assert len(got) == 301 and got["confidence"].to_numpy() == pytest.approx(want.max(1) / want.sum(1))
+    assert got["prediction"].tolist() == [model.labels[i] for i in want.argmax(1)]
+    assert np.isnan(got["f0"].to_numpy()).sum() == 1 and (got["prediction"] == got["Label"]).mean() > 0.95
+    src.save_model(model, str(tmp_path / "rf"))
+    back = src.load_model(str(tmp_path / "rf"))
+    assert len(back.parts) == len(model.parts) and back.labels == model.labels
+    again = forest.classify(df, back, NAMES).orderBy("row_id").toPandas()
+    assert again["confidence"].tolist() == got["confidence"].tolist()
+    df.drop("Label").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema(df.drop("Label").schema).parquet(str(tmp_path / "rows"))
+    forest.classify(stream, model, NAMES).writeStream.format("memory").queryName("rated").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    live = spark.table("rated").orderBy("row_id").toPandas()
+    assert live["confidence"].to_numpy() == pytest.approx(got["confidence"].to_numpy())
+    assert live["prediction"].tolist() == got["prediction"].tolist()
