@@ -115,7 +115,8 @@ def findings_nearby(spark, sf_dir):
 def findings_correlated(spark, sf_dir):
     found = _findings(spark, sf_dir)
     sensor, network = (found.where(F.col("event_type") == kind) for kind in ("signup", "click"))
-    incidents = lateness.correlated_incidents(lateness.nearby_findings(sensor, network, "device_id", WITHIN), "device_id")
+    pairs = lateness.nearby_findings(sensor, network, "device_id", WITHIN, mark_first=True)
+    incidents = lateness.correlated_incidents(pairs, "device_id")
     times = ("sensor", "first_network", "last_network")
     return incidents.withColumns({f"{t}_us": F.unix_micros(f"{t}_ts") for t in times}).drop(*[f"{t}_ts" for t in times])
 

@@ -116,3 +116,23 @@ def test_findings_near_one_another(spark):
     for r in lateness.correlated_incidents(pairs, "device").collect():
         assert r.n_network == sum(s == r.sensor_id for s, _ in want)
     assert lateness.nearby_findings(sensor.limit(0), network, "device", 7).count() == 0
+
+
+def test_marked_pairs_count_distinct_ids(spark):
+    """Findings that come twice, at one time or several, and without ids; the pairs are never shuffled."""
+    rnd = random.Random(3)
+    ids = [None, 1, 1, 2, 3, 4, 5, 6]
+    rows = [
+        (rnd.choice(["a", "b", None]), rnd.choice(ids), rnd.choice([None, *range(40)]), rnd.random() < 0.4) for _ in range(250)
+    ]
+    df = spark.createDataFrame(rows + rows[:40], "device string, finding_id long, s long, sensor boolean")
+    df = df.withColumn("ts", F.timestamp_seconds("s"))
+    sensor, network = df.where("sensor"), df.where("not sensor")
+    marked = lateness.nearby_findings(sensor, network, "device", 4, mark_first=True)
+    plain = lateness.nearby_findings(sensor, network, "device", 4)
+    assert sorted(map(str, marked.drop("first").collect())) == sorted(map(str, plain.collect()))
+    found = lateness.correlated_incidents(marked, "device")
+    assert sorted(map(str, found.collect())) == sorted(map(str, lateness.correlated_incidents(plain, "device").collect()))
+    # Two rows of one finding, two slices: a pair's network id is in no shuffle after the join.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "distinct" not in plan.split("Join")[0]
