@@ -17,6 +17,8 @@ from sentrel.functions.staging import materialise
 from sentrel.operators.windows import running
 
 HOUR_US = 3_600_000_000
+#: Rows that a task sorts or puts together, some 400 bytes each: Spark deals out by compressed size.
+TASK_ROWS = 500_000
 #: Samples are held as whole numbers of 10^-DIGITS below 10^RANGE, so that sums are exact.
 DIGITS, RANGE = 6, 9
 
@@ -77,7 +79,9 @@ def causal_features(
         .agg(F.count("*").alias("n"), F.sum("q").alias("v1"), F.sum(F.col("q") * F.col("q")).alias("v2"))
     )
     # Sums count time from the table's first instant.
-    origin = instants.agg(F.min("t")).first()[0] or 0
+    origin, n_instants = instants.agg(F.min("t"), F.count("*")).first()
+    origin = origin or 0
+    tasks = max(readings.sparkSession.sparkContext.defaultParallelism, -(-3 * n_instants // TASK_ROWS))
     # side 2: the instant; 1: where its window begins; 0: where its baseline does. A border comes
     # before the readings of its own instant.
     sides = [(F.col("t"), 2), (F.col("t") - window_us, 1), (F.col("t") - baseline_us, 0)]
@@ -89,9 +93,10 @@ def causal_features(
     parts = {"n": n, "v1": v1, "v2": v2, "s1": n * u, "s2": n * u * u, "uv": u * v1}
     named = {f"p_{c}": _whole(x) for c, x in parts.items()}
     now = F.when(own, F.struct(F.col("at").alias("t"), (F.col("v1").cast("double") / F.col("n")).alias("q")))
-    along = running(rows, keys, "at", ["at", "side"], named, {"prev": now}, bucket_us)
+    along = running(rows, keys, "at", ["at", "side"], named, {"prev": now}, bucket_us, tasks)
     picks = [F.max(F.when(F.col("side") == s, F.col(f"p_{c}"))).alias(f"{c}{s}") for c in parts for s in (0, 1, 2)]
-    wide = along.groupBy(*keys, "t").agg(
+    # An instant's rows lie in different buckets: nothing to put together before they are dealt out.
+    wide = along.repartition(tasks, *keys, "t").groupBy(*keys, "t").agg(
         *[F.max(F.when(own, F.col(c))).alias(c) for c in ("n", "v1")],
         *[F.max(F.when(own, F.col(f"prev.{c}"))).alias(f"prev_{c}") for c in ("t", "q")],
         *picks,

@@ -259,13 +259,15 @@ def running(
     sums: dict[str, Column],
     latest: dict[str, Column] | None = None,
     bucket_us: int = 3_600_000_000,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Running sums and maxima along a key: ``sums`` up to and including each row, ``latest`` before it.
 
     ``order`` must begin with ``ts_us`` and leave no ties that matter. Two levels, and one shuffle of
     the rows: what a time bucket adds is chained along the key (one row per key and bucket), and the
     chained value goes into its bucket as a first row, so a key's history is never in one task. Null
-    keys are a key; null values add nothing.
+    keys are a key; null values add nothing. ``tasks`` is how many the rows are dealt to, by default
+    Spark's number.
     """
     keys, latest = list(keys), latest or {}
     added = {f"__{out}": value for out, value in (sums | latest).items()}
@@ -281,10 +283,11 @@ def running(
     part = Window.partitionBy(*keys, "__b").orderBy("__row", *order)
     through = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = part.rowsBetween(Window.unboundedPreceding, -1)
+    led = tagged.withColumn("__row", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    if tasks:
+        led = led.repartition(tasks, *keys, "__b")
     return (
-        tagged.withColumn("__row", F.lit(1))
-        .unionByName(heads, allowMissingColumns=True)
-        .withColumns({out: f(f"__{out}").over(through if out in sums else before) for out, f in fold.items()})
+        led.withColumns({out: f(f"__{out}").over(through if out in sums else before) for out, f in fold.items()})
         .where("__row = 1")
         .drop("__b", "__row", *added)
     )

@@ -163,3 +163,15 @@ def test_a_value_stuck_over_many_buckets_is_one_finding(spark):
     assert (row.kind, row.start_us, row.end_us, row.n_samples) == (sensors.STUCK, 0, 2999 * SECOND, 3000)
     none = sensors.quality_findings(df.limit(0), ["device"], "us", "seq", "value", SECOND)
     assert none.count() == 0
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """More rows make more tasks, whatever Spark takes their size for, and the same result."""
+    rows = readings(5, 300)
+    df = spark.createDataFrame(rows, SCHEMA)
+    args = (df, ["device"], "us", "value", 600 * SECOND, 3_600 * SECOND)
+    few = sensors.causal_features(*args)
+    monkeypatch.setattr(sensors, "TASK_ROWS", 30)
+    many = sensors.causal_features(*args)
+    assert many.rdd.getNumPartitions() >= few.count() * 3 // 30 > few.rdd.getNumPartitions()
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
