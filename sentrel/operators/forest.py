@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from sentrel.operators import evaluation, quality
 NODES = 250_000
 #: What a task counts in at a time while trees grow; an executor has one for each core.
 TASK_MB = 256
+#: The same for a forest in parts, which takes more passes anyway; garbage of that size is what fills an executor.
+PART_MB = 64
 
 
 @dataclass
@@ -34,6 +37,7 @@ class PartedForest:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         for k, part in enumerate(self.parts):
             PipelineModel.load(part).write().save(f"{path}/{k:05d}")
+            _let_go(spark)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> PartedForest:
@@ -60,6 +64,8 @@ class PartedForest:
         for k, part in enumerate(self.parts):
             voted = PipelineModel.load(part).transform(rows.select("__row", *[f"`{c}`" for c in features]))
             voted.select("__row", vector_to_array("rawPrediction").alias("v")).write.parquet(f"{out}/part={k}")
+            del voted
+            _let_go(spark)
         votes = spark.read.schema("__row bigint, v array<double>, part int").parquet(out)
         # In the order of the parts, so that reruns add up to the same bits.
         whole = votes.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("part", "v"))).alias("__votes"))
@@ -130,6 +136,15 @@ def train_forest(
     return _train_parts(known, names, assembler, grower, named, nodes, largest)
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Have executors drop the trees and node numbers that earlier tasks were sent.
+
+    Spark does so once the driver has collected its garbage, which it may not do for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _train_parts(
     known: DataFrame,
     names: StringIndexerModel,
@@ -150,14 +165,16 @@ def _train_parts(
     chosen = "sqrt" if trees > 1 else "auto"
     while done < trees:
         n = min(step, trees - done)
-        some = grower.copy({grower.numTrees: n, grower.seed: grower.getSeed() + done, grower.featureSubsetStrategy: chosen})
+        own = {grower.numTrees: n, grower.seed: grower.getSeed() + done, grower.maxMemoryInMB: PART_MB}
+        some = grower.copy(own | {grower.featureSubsetStrategy: chosen})
         fitted = some.fit(ready)
         parts.append(f"{folder}/{len(parts):05d}")
         PipelineModel([assembler, fitted, named]).write().save(parts[-1])
         done += n
         # The trees so far tell how large the next ones will be.
         step = max(1, int(0.9 * nodes * n / fitted.totalNumNodes))
-        del fitted
+        del fitted, some
+        _let_go(spark)
     return PartedForest(parts, names.labels)
 
 

@@ -1,6 +1,7 @@
 """Forest, isolation forest, clustering and pattern store."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -244,3 +245,35 @@ def test_forest_in_parts(spark, tmp_path):
     live = spark.table("rated").orderBy("row_id").toPandas()
     assert live["confidence"].to_numpy() == pytest.approx(got["confidence"].to_numpy())
     assert live["prediction"].tolist() == got["prediction"].tolist()
+
+
+def test_parts_leave_nothing_on_executors(spark, tmp_path):
+    """What tasks were sent while one part grew, or was asked, is gone before the next ones fill the memory."""
+    rng = np.random.default_rng(8)
+    df = table(spark, rng.normal(size=(3000, 4)), np.array(["BENIGN", "DOS", "BOT"])[rng.integers(0, 3, 3000)])
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+
+    def held():
+        """Bytes that broadcasts and cached rows take up."""
+        sizes = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().toList()
+        return sum(sizes.apply(i)._1() - sizes.apply(i)._2() for i in range(sizes.size()))
+
+    def settled(most):
+        """Whether no more is held within some seconds: Spark cleans in the background."""
+        for _ in range(50):
+            if held() - before <= most:
+                return True
+            time.sleep(0.1)
+        return False
+
+    forest._let_go(spark)
+    time.sleep(2)
+    before = held()
+    model = forest.train_forest(df, NAMES, trees=4, depth=12, nodes=2500)
+    assert len(model.parts) > 1 and settled(500_000), held() - before
+    assert all(PipelineModel.load(p).stages[1].getMaxMemoryInMB() == forest.PART_MB < forest.TASK_MB for p in model.parts)
+    forest._let_go(spark)
+    rated = forest.classify(df, model, NAMES)
+    assert settled(500_000), held() - before
+    assert rated.count() == 3000
