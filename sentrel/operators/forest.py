@@ -19,10 +19,16 @@ from sentrel.operators import evaluation, quality
 
 #: Nodes of the trees that the driver, or a task that scores, holds at a time (about 500 bytes each).
 NODES = 250_000
+#: The same for a forest in parts: what a part leaves behind adds to the next one's.
+PART_NODES = 100_000
 #: What a task counts in at a time while trees grow; an executor has one for each core.
 TASK_MB = 256
 #: The same for a forest in parts, which takes more passes anyway; garbage of that size is what fills an executor.
-PART_MB = 64
+PART_MB = 32
+#: Rows of a task while such a forest grows: each task counts every node, whatever rows it has.
+GROW_ROWS = 20_000
+#: Rows of a task that such a forest's part is asked for: each task is sent the part's trees.
+ASK_ROWS = 50_000
 
 
 @dataclass
@@ -61,15 +67,21 @@ class PartedForest:
         spark = df.sparkSession
         rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
         out = scratch(spark, "votes")
+        asked = rows.select("__row", *[f"`{c}`" for c in features]).coalesce(_tasks(rows.count(), ASK_ROWS))
         for k, part in enumerate(self.parts):
-            voted = PipelineModel.load(part).transform(rows.select("__row", *[f"`{c}`" for c in features]))
+            voted = PipelineModel.load(part).transform(asked)
             voted.select("__row", vector_to_array("rawPrediction").alias("v")).write.parquet(f"{out}/part={k}")
             del voted
             _let_go(spark)
         votes = spark.read.schema("__row bigint, v array<double>, part int").parquet(out)
+        # One grouping and no join: each sort of a task takes pages that grow with the heap.
+        kept = rows.select("__row", F.struct(*[f"`{c}`" for c in df.columns]).alias("__kept"), F.lit(None).alias("__vote"))
+        each = kept.unionByName(votes.select("__row", F.lit(None).alias("__kept"), F.struct("part", "v").alias("__vote")))
         # In the order of the parts, so that reruns add up to the same bits.
-        whole = votes.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("part", "v"))).alias("__votes"))
-        return self._counted(rows.join(whole, "__row")).drop("__row")
+        whole = each.groupBy("__row").agg(
+            F.first("__kept", ignorenulls=True).alias("__kept"), F.sort_array(F.collect_list("__vote")).alias("__votes")
+        )
+        return self._counted(whole.select("__kept.*", "__votes"))
 
     def _counted(self, rows: DataFrame) -> DataFrame:
         none = F.array(*[F.lit(0.0) for _ in self.labels])
@@ -96,9 +108,9 @@ def train_forest(
 ) -> PipelineModel | PartedForest:
     """Forest with balanced class weights; missing and infinite features count as 0.
 
-    Trees that may have more than ``nodes`` nodes together are grown and saved some at a time, each
-    part with a seed of its own, so neither the driver nor a task holds the forest. The smallest part
-    is one tree.
+    Trees that may have more than ``nodes`` nodes together are grown and saved some at a time, at most
+    ``PART_NODES`` nodes, each part with a seed of its own, so neither the driver nor a task holds the
+    forest. The smallest part is one tree.
     """
     # One row per class; written out, so that the planner sees how small it is.
     counts = materialise(
@@ -133,7 +145,11 @@ def train_forest(
     if trees * largest <= nodes:
         model = Pipeline(stages=[names, assembler, grower, named]).fit(known)
         return PipelineModel(model.stages[1:])
-    return _train_parts(known, names, assembler, grower, named, nodes, largest)
+    return _train_parts(known, names, assembler, grower, named, min(nodes, PART_NODES), largest, total)
+
+
+def _tasks(rows: int, each: int) -> int:
+    return max(1, -(-rows // each))
 
 
 def _let_go(spark: SparkSession) -> None:
@@ -153,13 +169,14 @@ def _train_parts(
     named: IndexToString,
     nodes: int,
     largest: int,
+    total: int,
 ) -> PartedForest:
     spark, trees = known.sparkSession, grower.getNumTrees()
     ready = materialise(
         assembler.transform(names.transform(known)).select("class_index", "class_weight", "features")
     )
-    # A pass counts in each partition, whatever rows it has: no more of them than run at a time.
-    ready = ready.coalesce(spark.sparkContext.defaultParallelism)
+    # No more partitions than the rows are worth or than run at a time.
+    ready = ready.coalesce(min(_tasks(total, GROW_ROWS), spark.sparkContext.defaultParallelism))
     folder, parts, done, step = scratch(spark, "forest"), [], 0, max(1, nodes // largest)
     # What Spark takes for more than one tree, also where a part has one.
     chosen = "sqrt" if trees > 1 else "auto"

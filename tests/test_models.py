@@ -277,3 +277,36 @@ def test_parts_leave_nothing_on_executors(spark, tmp_path):
     rated = forest.classify(df, model, NAMES)
     assert settled(500_000), held() - before
     assert rated.count() == 3000
+
+
+def test_parts_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """A task counts every node while trees grow, and holds the part it asks: few rows are worth few tasks."""
+    rng = np.random.default_rng(9)
+    df = table(spark, rng.normal(size=(900, 4)), np.array(["BENIGN", "DOS", "BOT"])[rng.integers(0, 3, 900)])
+    df.repartition(8).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.option("maxPartitionBytes", 1000).parquet(str(tmp_path / "rows"))
+    grown, asked, fit, transform = [], [], forest.RandomForestClassifier.fit, PipelineModel.transform
+
+    def fitted(self, rows, *more):
+        grown.append(rows.rdd.getNumPartitions())
+        return fit(self, rows, *more)
+
+    def voted(self, rows, *more):
+        asked.append(rows.rdd.getNumPartitions())
+        return transform(self, rows, *more)
+
+    monkeypatch.setattr(forest.RandomForestClassifier, "fit", fitted)
+    monkeypatch.setattr(PipelineModel, "transform", voted)
+    monkeypatch.setattr(forest, "GROW_ROWS", 450)
+    monkeypatch.setattr(forest, "ASK_ROWS", 900)
+    monkeypatch.setattr(forest, "PART_NODES", 600)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        model = forest.train_forest(df, NAMES, trees=3, depth=8, nodes=1200)
+        assert forest.classify(df, model, NAMES).count() == 900
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(model.parts) == len(grown) == len(asked) > 1
+    assert set(grown) == {2} and set(asked) == {1}
+    found = [PipelineModel.load(p).stages[1] for p in model.parts]
+    assert all(f.getNumTrees == 1 or f.totalNumNodes <= 600 for f in found)
