@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from math import sqrt
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from sentrel.functions.staging import materialise
 from sentrel.operators.windows import numbered
 
 
+#: Cells of each side that are compared at a time, and those of one side among them that are held against the other.
+BLOCK = 1024
+STRIP = 64
+
+
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation per feature; one row comes back to the driver."""
     stats = df.agg(
@@ -85,6 +92,55 @@ def _grid(dims: Sequence[int], side: float) -> tuple[Column, Column]:
     return own, keys
 
 
+def _boxes(side: pd.DataFrame, lo: str, hi: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds with a row for each dimension; missing ones are NaN."""
+    return tuple(np.stack(side[c].to_numpy()).astype(float).T.copy() for c in (lo, hi))
+
+
+def _near_cells(left: DataFrame, right: DataFrame, e2: float) -> DataFrame:
+    """Pairs of cells (``cell < cell2``) of one grid cell ``g`` whose boxes lie within the root of ``e2``.
+
+    ``sure`` tells whether all their points do. Pairs of a grid cell are compared in blocks, so a full
+    one is no task of its own. Boxes with missing bounds are near none.
+    """
+
+    def blocks(side: DataFrame, out: str) -> DataFrame:
+        return side.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(out))
+
+    def dealt(side: DataFrame, cell: str, own: str, n: str, other: str, m: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(cell), F.col(n)).cast("int").alias(own)
+        every = F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(other)
+        return side.join(counts, "g").select(*side.columns, mine, every).groupBy("g", "i", "j")
+
+    counts = materialise(blocks(left, "n").join(blocks(right, "m"), "g"))
+
+    def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        names = ["cell", "cell2", "cw", "cw2"]
+        if one.empty or two.empty:
+            return pd.DataFrame({c: [] for c in [*names, "sure"]})
+        (lo, hi), (lo2, hi2) = _boxes(one, "lo", "hi"), _boxes(two, "lo2", "hi2")
+        found = []
+        # Dimension by dimension, so sums are those of a fold; some rows at a time stay in the cache.
+        for k in range(0, len(one), STRIP):
+            l, h = lo[:, k : k + STRIP, None], hi[:, k : k + STRIP, None]
+            gap = np.zeros((l.shape[1], len(two)))
+            for i in range(len(lo)):
+                gap += np.maximum(np.maximum(l[i] - hi2[i], lo2[i] - h[i]), 0.0) ** 2
+            found.append(np.argwhere(gap <= e2) + [k, 0])
+        a, b = np.concatenate(found).T
+        first, second = one["cell"].to_numpy(), two["cell2"].to_numpy()
+        kept = (first[a] < second[b]).astype(bool)
+        a, b = a[kept], b[kept]
+        reach = np.zeros(len(a))
+        for i in range(len(lo)):
+            reach += np.maximum(hi[i][a] - lo2[i][b], hi2[i][b] - lo[i][a]) ** 2
+        sides = (first[a], second[b], one["cw"].to_numpy()[a], two["cw2"].to_numpy()[b])
+        return pd.DataFrame(dict(zip(names, sides, strict=True)) | {"sure": reach <= e2})
+
+    with_blocks = dealt(left, "cell", "i", "n", "j", "m").cogroup(dealt(right, "cell2", "j", "m", "i", "n"))
+    return with_blocks.applyInPandas(compare, "cell string, cell2 string, cw bigint, cw2 bigint, sure boolean")
+
+
 def dbscan(
     points: DataFrame,
     row_id: str,
@@ -136,21 +192,8 @@ def dbscan(
         F.col("hi").alias("hi2"), F.explode(near).alias("g"),
     )
 
-    def box_gap(i: Column) -> Column:
-        lo, hi, lo2, hi2 = (F.get(c, i) for c in ("lo", "hi", "lo2", "hi2"))
-        return _squared(F.greatest(lo - hi2, lo2 - hi, F.lit(0.0)))
-
-    def box_reach(i: Column) -> Column:
-        lo, hi, lo2, hi2 = (F.get(c, i) for c in ("lo", "hi", "lo2", "hi2"))
-        return _squared(F.greatest(hi - lo2, hi2 - lo))
-
     e2 = eps * eps
-    pairs = materialise(
-        left.join(right, "g")
-        .where(F.col("cell") < F.col("cell2"))
-        .where(_sum_over(d, box_gap) <= e2)
-        .select("cell", "cell2", "cw", "cw2", (_sum_over(d, box_reach) <= e2).alias("sure"))
-    )
+    pairs = materialise(_near_cells(left, right, e2))
     # Point pairs across cells, where boxes leave the question open.
     p1 = pts.select("cell", F.col("pid").alias("a"), F.col("x").alias("xa"), F.col("w").alias("wa"))
     p2 = pts.select(

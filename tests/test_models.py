@@ -66,6 +66,39 @@ def test_dbscan_equals_sequential(spark, name, x, eps, m):
     assert got.tolist() == brute_dbscan(x, eps, m).tolist()
 
 
+def test_near_cells_in_blocks(spark, monkeypatch):
+    """A grid cell that holds every box is compared in blocks, with the same pairs as box by box."""
+    rng = np.random.default_rng(4)
+    n, d, e2 = 90, 40, 36.0
+    lo = rng.normal(size=(n, d))
+    hi = lo + rng.uniform(0, 0.3, (n, d)) * (np.arange(n) % 3 > 0)[:, None]
+    lo[80] = hi[80] = lo[6]
+    hi[81, 3], hi[82, 0] = np.nan, np.inf
+    rows = [(f"{i:03d}", i + 1, lo[i].tolist(), hi[i].tolist(), "g") for i in range(n)]
+    rows.append(("090", 91, [None] * d, [None] * d, "g"))
+    rows.append(("091", 92, lo[0].tolist(), hi[0].tolist(), "alone"))
+    left = spark.createDataFrame(rows, "cell string, cw long, lo array<double>, hi array<double>, g string")
+    right = left.where("g = 'g'").toDF("cell2", "cw2", "lo2", "hi2", "g")
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    monkeypatch.setattr(clusters, "STRIP", 5)
+    found = clusters._near_cells(left, right, e2)
+    got = {r[0] + r[1]: tuple(r)[2:] for r in found.collect()}
+    want = {}
+    for i in (i for i in range(n) if i not in (81, 82)):
+        for j in (j for j in range(i + 1, n) if j not in (81, 82)):
+            gap = (np.maximum(np.maximum(lo[i] - hi[j], lo[j] - hi[i]), 0) ** 2).sum()
+            reach = (np.maximum(hi[i] - lo[j], hi[j] - lo[i]) ** 2).sum()
+            if gap <= e2:
+                want[f"{i:03d}{j:03d}"] = (i + 1, j + 1, bool(reach <= e2))
+    # A box without an upper end may still be near.
+    for i in (i for i in range(n) if i not in (81, 82)):
+        gap = (np.maximum(np.maximum(lo[i] - hi[82], lo[82] - hi[i]), 0) ** 2).sum()
+        if gap <= e2:
+            a, b = sorted((i, 82))
+            want[f"{a:03d}{b:03d}"] = (a + 1, b + 1, False)
+    assert got == want and {v[2] for v in want.values()} == {True, False}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (110, 2))] + [(i, i + 1) for i in range(300, 360)]
