@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from sentrel.functions.scalars import evaluated_once, parse_instant
 from sentrel.functions.staging import materialise
 from sentrel.operators.forest import PartedForest
+from sentrel.operators.trees import GrownForest
 
 EVIDENCE_SCHEMA = (
     "struct<packet_count:bigint,total_bytes:bigint,flow_duration:double,packet_rate:double,"
@@ -140,17 +141,21 @@ def write_dataset(df: DataFrame, path: str, csv: bool = False) -> None:
         writer.parquet(path)
 
 
-def save_model(model: PipelineModel | PartedForest, path: str) -> None:
-    if isinstance(model, PartedForest):
+def save_model(model: PipelineModel | PartedForest | GrownForest, path: str) -> None:
+    if isinstance(model, PartedForest | GrownForest):
         model.save(SparkSession.active(), path)
     else:
         model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel | PartedForest:
+def load_model(path: str) -> PipelineModel | PartedForest | GrownForest:
     """The model in a folder; a forest in parts has no metadata of its own, its parts have."""
     spark = SparkSession.active()
-    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
-    if whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole):
+
+    def has(name: str) -> bool:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+    if has("metadata"):
         return PipelineModel.load(path)
-    return PartedForest.load(spark, path)
+    return GrownForest.load(spark, path) if has("about") else PartedForest.load(spark, path)
