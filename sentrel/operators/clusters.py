@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from math import sqrt
 
@@ -19,6 +19,8 @@ from sentrel.operators.windows import numbered
 #: Cells of each side that are compared at a time, and those of one side among them that are held against the other.
 BLOCK = 1024
 STRIP = 64
+#: Links that a task thins out at a time.
+LINKS = 1 << 19
 
 
 def fit_scaler(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -37,13 +39,51 @@ def scale(df: DataFrame, scaler: dict[str, tuple[float, float]]) -> DataFrame:
     )
 
 
+def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node but the smallest of its component, and that smallest."""
+    known, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(known))
+    while True:
+        low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        apart = low != high
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return known[moved], known[root[moved]]
+
+
+def _thinned(edges: DataFrame) -> DataFrame:
+    """Links of whole numbers with the same components: no more from a task than it has nodes."""
+    if any(kind not in ("tinyint", "smallint", "int", "bigint") for _, kind in edges.dtypes):
+        return edges
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, held = [], 0
+        for batch in batches:
+            kept.append((batch["a"].to_numpy(), batch["b"].to_numpy()))
+            held += len(batch)
+            if held >= LINKS:
+                kept, held = [_spanning(*map(np.concatenate, zip(*kept, strict=True)))], 0
+        if kept:
+            a, b = _spanning(*map(np.concatenate, zip(*kept, strict=True)))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return edges.mapInPandas(thin, edges.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node of an undirected graph (``a, b``).
 
     Alternates large-star and small-star (Kiveris et al. 2014) until nothing changes; every round
-    is two aggregations, and the table of each round is written out, which keeps lineage short.
+    is two aggregations, and the table of each round is written out, which keeps lineage short. Tasks first
+    thin out their links, so that dense graphs are not shuffled.
     """
-    links = materialise(edges.where("a <> b").select(
+    links = materialise(_thinned(edges.select("a", "b").where("a <> b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
@@ -113,32 +153,50 @@ def _near_cells(left: DataFrame, right: DataFrame, e2: float) -> DataFrame:
         return side.join(counts, "g").select(*side.columns, mine, every).groupBy("g", "i", "j")
 
     counts = materialise(blocks(left, "n").join(blocks(right, "m"), "g"))
+    kind = left.schema["cell"].dataType.simpleString()
+
+    def spheres(lo: np.ndarray, hi: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Centres of boxes from ``middle``, half diagonals, squares of the centres."""
+        at = (lo - middle) + (hi - lo) / 2
+        return at, np.sqrt(((hi - lo) ** 2).sum(0)) / 2, (at * at).sum(0)
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         names = ["cell", "cell2", "cw", "cw2"]
         if one.empty or two.empty:
             return pd.DataFrame({c: [] for c in [*names, "sure"]})
         (lo, hi), (lo2, hi2) = _boxes(one, "lo", "hi"), _boxes(two, "lo2", "hi2")
-        found = []
-        # Dimension by dimension, so sums are those of a fold; some rows at a time stay in the cache.
-        for k in range(0, len(one), STRIP):
-            l, h = lo[:, k : k + STRIP, None], hi[:, k : k + STRIP, None]
-            gap = np.zeros((l.shape[1], len(two)))
-            for i in range(len(lo)):
-                gap += np.maximum(np.maximum(l[i] - hi2[i], lo2[i] - h[i]), 0.0) ** 2
-            found.append(np.argwhere(gap <= e2) + [k, 0])
-        a, b = np.concatenate(found).T
         first, second = one["cell"].to_numpy(), two["cell2"].to_numpy()
-        kept = (first[a] < second[b]).astype(bool)
-        a, b = a[kept], b[kept]
-        reach = np.zeros(len(a))
-        for i in range(len(lo)):
-            reach += np.maximum(hi[i][a] - lo2[i][b], hi2[i][b] - lo[i][a]) ** 2
+        points = bool((lo == hi).all() and (lo2 == hi2).all())
+        found = []
+        with np.errstate(invalid="ignore", over="ignore"):
+            middle = np.nan_to_num(lo2[:, :1], posinf=0.0, neginf=0.0)
+            (at, half, square), (at2, half2, square2) = spheres(lo, hi, middle), spheres(lo2, hi2, middle)
+            # Some rows at a time stay in the cache.
+            for k in range(0, len(one), STRIP):
+                strip = slice(k, k + STRIP)
+                # One product tells which boxes are too far apart, with room for its rounding; what it cannot tell stays.
+                both = square[strip, None] + square2
+                apart = both - 2 * (at[:, strip].T @ at2) - 1e-9 * both
+                a, b = np.nonzero(~(apart > (sqrt(e2) + half[strip, None] + half2) ** 2 * (1 + 1e-9)))
+                a += k
+                kept = (first[a] < second[b]).astype(bool)
+                a, b = a[kept], b[kept]
+                # Dimension by dimension, so sums are those of a fold.
+                gap = np.zeros(len(a))
+                for l, h, l2, h2 in zip(lo, hi, lo2, hi2, strict=True):
+                    gap += np.maximum(np.maximum(l[a] - h2[b], l2[b] - h[a]), 0.0) ** 2
+                near = gap <= e2
+                a, b, gap = a[near], b[near], gap[near]
+                reach = np.zeros(len(a))
+                for l, h, l2, h2 in () if points else zip(lo, hi, lo2, hi2, strict=True):
+                    reach += np.maximum(h[a] - l2[b], h2[b] - l[a]) ** 2
+                found.append((a, b, gap if points else reach))
+        a, b, reach = (np.concatenate(f) for f in zip(*found, strict=True))
         sides = (first[a], second[b], one["cw"].to_numpy()[a], two["cw2"].to_numpy()[b])
         return pd.DataFrame(dict(zip(names, sides, strict=True)) | {"sure": reach <= e2})
 
     with_blocks = dealt(left, "cell", "i", "n", "j", "m").cogroup(dealt(right, "cell2", "j", "m", "i", "n"))
-    return with_blocks.applyInPandas(compare, "cell string, cell2 string, cw bigint, cw2 bigint, sure boolean")
+    return with_blocks.applyInPandas(compare, f"cell {kind}, cell2 {kind}, cw bigint, cw2 bigint, sure boolean")
 
 
 def dbscan(
@@ -162,23 +220,26 @@ def dbscan(
     # Weighted distinct points; the id of a point is its smallest row id.
     distinct = rows.groupBy("x").agg(F.min("id").alias("pid"), F.count("*").alias("w"))
     fine = eps / sqrt(d) * (1 - 1e-9)
-    cell = F.sha2(F.concat_ws(",", F.transform("x", lambda v: F.floor(v / fine).cast("string"))), 256)
-    pts = materialise(distinct.withColumn("cell", cell))
+    place = F.sha2(F.concat_ws(",", F.transform("x", lambda v: F.floor(v / fine).cast("string"))), 256)
+    placed = materialise(distinct.withColumn("place", place))
 
     bounds = [
         agg(F.get("x", F.lit(i))).alias(f"{n}{i}") for n, agg in (("l", F.min), ("h", F.max)) for i in range(d)
     ]
     cells = materialise(
-        pts.groupBy("cell")
+        placed.groupBy("place")
         .agg(F.sum("w").alias("cw"), F.min("pid").alias("cid"), *bounds)
         .select(
-            "cell",
+            "place",
+            # A number, since pairs of cells are many.
+            F.monotonically_increasing_id().alias("cell"),
             "cw",
             "cid",
             F.array(*[F.col(f"l{i}") for i in range(d)]).alias("lo"),
             F.array(*[F.col(f"h{i}") for i in range(d)]).alias("hi"),
         )
     )
+    pts = materialise(placed.join(cells.select("place", "cell"), "place").drop("place"))
     # The grid uses the features that spread over most grid columns.
     side = eps * (1 + 1 / sqrt(d))
     spread = cells.agg(
@@ -249,8 +310,7 @@ def dbscan(
         .join(heads.toDF("cell2", "hb"), "cell2")
         .select("ha", "hb")
     )
-    links = by_point.union(by_cell).toDF("a", "b").distinct()
-    roots = components(links)
+    roots = components(by_point.union(by_cell).toDF("a", "b"))
     core_root = materialise(
         core_head.join(roots, core_head["head"] == roots["id"], "left").select(
             "pid", "cell", F.coalesce("root", "head").alias("root")
