@@ -65,29 +65,34 @@ class PartedForest:
             voted = PipelineModel.load(part).transform(rows)
             return voted.select(*[f"`{c}`" for c in rows.columns], vector_to_array("rawPrediction").alias("v"))
 
-        return _by_parts(df, features, self.labels, self.parts, vote)
+        return _by_parts(df, features, df.columns, self.labels, self.parts, vote)
 
 
 def _ask_grown(df: DataFrame, model: GrownForest, features: Sequence[str]) -> DataFrame:
-    """The same for a grown forest; one that is small enough is asked as a whole."""
-    spark = df.sparkSession
+    """The same for a grown forest, without the features; one that is small enough is asked as a whole."""
+    spark, kept = df.sparkSession, [c for c in df.columns if c not in features]
 
     def vote(rows: DataFrame, part: tuple[int, int]) -> DataFrame:
         return rows.withColumn("v", model.votes(spark, part, features))
 
-    return _by_parts(df, features, model.labels, model.parts(spark), vote)
+    return _by_parts(df, features, kept, model.labels, model.parts(spark), vote)
 
 
 def _by_parts(
-    df: DataFrame, features: Sequence[str], labels: Sequence[str], parts: Sequence, vote: Callable[..., DataFrame]
+    df: DataFrame,
+    features: Sequence[str],
+    columns: Sequence[str],
+    labels: Sequence[str],
+    parts: Sequence,
+    vote: Callable[..., DataFrame],
 ) -> DataFrame:
-    """Rows with what the parts say together; ``vote(rows, part)`` adds a part's shares as ``v``."""
+    """``columns`` with what the parts say together; ``vote(rows, part)`` adds a part's shares as ``v``."""
     if df.isStreaming or len(parts) == 1:
         rows = df.withColumn("__votes", F.array())
         for part in parts:
             more = F.array_append("__votes", F.struct("v"))
             rows = vote(rows, part).select(*[f"`{c}`" for c in df.columns], more.alias("__votes"))
-        return _counted(rows, labels)
+        return _counted(rows.select(*[f"`{c}`" for c in columns], "__votes"), labels)
     spark = df.sparkSession
     rows = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
     out = scratch(spark, "votes")
@@ -99,7 +104,7 @@ def _by_parts(
         _let_go(spark)
     votes = spark.read.schema("__row bigint, v array<double>, part int").parquet(out)
     # One grouping and no join: each sort of a task takes pages that grow with the heap.
-    kept = rows.select("__row", F.struct(*[f"`{c}`" for c in df.columns]).alias("__kept"), F.lit(None).alias("__vote"))
+    kept = rows.select("__row", F.struct(*[f"`{c}`" for c in columns]).alias("__kept"), F.lit(None).alias("__vote"))
     each = kept.unionByName(votes.select("__row", F.lit(None).alias("__kept"), F.struct("part", "v").alias("__vote")))
     # In the order of the parts, so that reruns add up to the same bits.
     whole = each.groupBy("__row").agg(
